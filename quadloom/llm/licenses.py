@@ -141,7 +141,7 @@ def oracle(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -
     split = lambda x: f"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"
     sets = [(label, ws, max(1, ceil(threshold * len(ws) - 1e-9))) for label, ws in _templates(templates)]
     table = ", ".join(f"('{label}', {ws!r}, {len(ws)}, {t})" for label, ws, t in sets)
-    places = [f"list_filter(range(0, len(ws)), i -> {' AND '.join(f'ws[i + {k + 1}] = {w!r}' for k, w in enumerate(p.split()))})" for p, _ in phrases]
+    places = [f"list_filter(range(0, len(ws)), lambda i: {' AND '.join(f'ws[i + {k + 1}] = {w!r}' for k, w in enumerate(p.split()))})" for p, _ in phrases]
     return f"""
 WITH t AS (SELECT * FROM (VALUES {table}) AS t(label, words, m, t)),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -155,5 +155,5 @@ p AS (SELECT doc_id, len(ws) AS n_words, {', '.join(f'{x} AS p{k}' for k, x in e
 SELECT p.doc_id, n_words::BIGINT AS n_words, len(pl)::BIGINT AS n_base, list_min(pl)::BIGINT AS first_word, list_max(pl)::BIGINT AS last_word,
 array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
 CASE WHEN len(pl) > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
-FROM (SELECT *, list_concat({', '.join(f'p{k}' for k in range(len(phrases)))}) AS pl, list_filter([{', '.join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases))}], x -> x IS NOT NULL) AS base FROM p) p LEFT JOIN h USING (doc_id)
+FROM (SELECT *, list_concat({', '.join(f'p{k}' for k in range(len(phrases)))}) AS pl, list_filter([{', '.join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases))}], lambda x: x IS NOT NULL) AS base FROM p) p LEFT JOIN h USING (doc_id)
 """
