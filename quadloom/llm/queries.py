@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import bpe, chat, licenses, packing, url_filter
+from quadloom.llm import ann, bpe, chat, exact_dedup, html_extract, licenses, near_dedup, packing, quality, url_filter
 
 BASE_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -18,15 +18,27 @@ def op1_license_scans(spark, sf_dir):
     return licenses.scanned(_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html_extract.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op3_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(BASE_RULES, "host string, path string, verdict string")
     return url_filter.judged(_table(spark, sf_dir, "pages"), rules)
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.packed_digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.grouped(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark, sf_dir):
     asked = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", asked), (-7, 1, "assistant", asked)], "conv_id long, turn long, role string, text string")
@@ -37,6 +49,21 @@ def op8_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors["vec_id"] % 50 == 0)
+
+
+def op10_exact_dedup(spark, sf_dir):
+    return exact_dedup.decided(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
+"""
+
 OP3_SQL = """
 WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
@@ -45,5 +72,5 @@ m AS (SELECT page_id, host, path, rh || rp AS rule, v, row_number() OVER (PARTIT
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_url_filters, op5_packing, op7_chat_formatting, op8_bpe)}
-ORACLES = {"op1_license_scans": licenses.oracle(), "op3_url_filters": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_html_extraction, op3_url_filters, op4_quality_classifier, op5_packing, op6_minhash_near_dedup, op7_chat_formatting, op8_bpe, op9_nearest_neighbours, op10_exact_dedup)}
+ORACLES = {"op1_license_scans": licenses.oracle(), "op3_url_filters": OP3_SQL, "op10_exact_dedup": OP10_SQL}
