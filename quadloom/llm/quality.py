@@ -3,12 +3,12 @@
 Method. Hashed n-gram models (add-one multinomials over `BUCKETS`) are counted for the target, labelled good documents, and for the
 raw corpus, all documents. Features of a text: each word's hash, and bigrams of word shapes (runs of letters by case, digits, and
 other characters as they are) with a mark where a word repeats the one before it. A document's importance is
-log p_target - log p_raw; Gumbel noise, drawn from the document's id, is added, and the k largest keys are taken, which is a sample of
+log p_target - log p_raw, tempered for long texts; Gumbel noise, drawn from the document's id, is added, and the k largest keys are taken, which is a sample of
 k documents without replacement in proportion to importance. k is the number of documents at or above the importance that best
 divides good from bad labelled documents.
 
 What is fitted on labels uses a bounded sample, `LABELLED` rows by hash of id; raw counts, importances, k and the k-th key cover all
-documents. To the driver go 2 * BUCKETS counts, the sample's importances and histograms of at most 4096 rows. The k-th key is found
+documents. To the driver go BUCKETS counts of each model, the sample's importances and histograms of at most 4096 rows. The k-th key is found
 by narrowing histograms, not by a sort into one task.
 
 Cases: null and empty texts have importance 0; without labelled good documents nothing is known, and all are kept; without bad ones
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import Scratch, ship, utf8
 
-BUCKETS, LABELLED, SEED = 1 << 15, 20_000, 7
+#: Few buckets for words, so that the ratio tells kinds of words and not single ones; more for bigrams of shapes.
+WORDS, PAIRS, LABELLED, SEED = 1 << 11, 1 << 15, 20_000, 7
+#: A document counts as at most so many n-grams, at the mean ratio of all it has: else a long text's small leanings outweigh a short one's faults.
+EFFECTIVE = 200
+BUCKETS = WORDS + PAIRS
 
 
 class _Words(dict):
@@ -43,7 +47,7 @@ class _Words(dict):
             if c != last or c not in b"Aa0":
                 out.append(c)
             last = c
-        self[word] = value = (xxh32_intdigest(word.lower()) % BUCKETS) | (xxh32_intdigest(bytes(out[:8])) << 16)
+        self[word] = value = (xxh32_intdigest(word.lower()) % WORDS) | (xxh32_intdigest(bytes(out[:8])) << 16)
         return value
 
 
@@ -56,7 +60,7 @@ def _words() -> _Words:
 
 
 def features(raw: bytes):
-    """Buckets of a text's n-grams: words in [0, BUCKETS), shapes' bigrams in [BUCKETS, 2 * BUCKETS)."""
+    """Buckets of a text's n-grams: words in [0, WORDS), shapes' bigrams in [WORDS, BUCKETS)."""
     import numpy as np
 
     split = raw.split()
@@ -67,7 +71,7 @@ def features(raw: bytes):
     same = (word[1:] == word[:-1]).astype(np.uint64)
     pair = (shape[:-1] * np.uint64(0x9E3779B1) + shape[1:] * np.uint64(0x85EBCA77) + same * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)
     pair = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
-    return np.concatenate((word, pair.astype(np.int64) + BUCKETS))
+    return np.concatenate((word, pair.astype(np.int64) + WORDS))
 
 
 def gumbel(doc_id, seed: int = SEED) -> float:
@@ -84,13 +88,18 @@ class Model:
         import numpy as np
 
         ratio = []
-        for part in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
+        for part in (slice(0, WORDS), slice(WORDS, BUCKETS)):
             t, r = target[part] + 1.0, raw[part] + 1.0
             ratio.append(np.log(t / t.sum()) - np.log(r / r.sum()))
         self.ratio = np.concatenate(ratio)
 
     def importance(self, raw: bytes) -> float:
-        return float(self.ratio[features(raw)].sum())
+        return tempered(self.ratio[features(raw)])
+
+
+def tempered(ratios) -> float:
+    """Sum of log ratios; of more than EFFECTIVE, so many times their mean."""
+    return float(ratios.sum()) * min(1.0, EFFECTIVE / max(1, len(ratios)))
 
 
 def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
@@ -108,12 +117,12 @@ def fitted(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col:
         import numpy as np
         import pyarrow as pa
 
-        raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
             for good, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
                 found = features(text)
                 if len(found) > BUCKETS:
-                    n = np.bincount(found, minlength=2 * BUCKETS)
+                    n = np.bincount(found, minlength=BUCKETS)
                     raw += n
                     target += n * bool(good)
                 else:
@@ -124,10 +133,10 @@ def fitted(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], names=["bucket", "raw", "target"])
 
     told = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), F.col("id") == F.col("l_id"), "left").select("good", "text")
-    counts = told.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most 2 * BUCKETS rows
+    counts = told.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most BUCKETS rows
     import numpy as np
 
-    raw, target = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
     return Model(target, raw) if target.any() else None
 
@@ -135,7 +144,7 @@ def fitted(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col:
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, log_weight, key."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2 * BUCKETS numbers
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(batches):
         import pyarrow as pa
@@ -148,7 +157,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 for raw in utf8(part.column(1)):
                     found = features(raw)
                     n.append((len(found) + 1) // 2)
-                    weight.append(float(ratio[found].sum()))
+                    weight.append(tempered(ratio[found]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array([w + gumbel(d) for w, d in zip(weight, ids, strict=True)], pa.float64())], names=["id", "n_tokens", "log_weight", "key"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, log_weight double, key double")
