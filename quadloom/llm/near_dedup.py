@@ -4,19 +4,21 @@ Sets. Words are `[^\\x20\\x09-\\x0D]+` of the whole text with A-Z in lower case;
 shingles as 64-bit hashes (with fewer words, the whole sequence is one). Two documents are linked if 100 * |A & B| >= 80 * |A | B|.
 
 Method.
-1. Each text becomes a signature of `coordinates` minima and a 128-bit key of its set. Documents of one key are one class.
-2. Each class is posted under its (coordinate, value) pairs. A pair of classes counts as a candidate from `matches` equal coordinates
-   on, so it must meet in one of the `coordinates - matches + 1` rarest postings of either class (prefix, rare first by counts over all
-   classes; a value held by one class takes a place and is posted nowhere).
-3. Lists are not expanded into pairs. In each round the first k members of a list (k = 1, 4, 16 ...) are pivots: the others meet
-   them, unless both already are in one component. Collisions on the long lists outside the prefix are not merged but looked up:
-   equal coordinates are counted between the two signatures (skip), and the pair goes on from `matches` on and if its set sizes allow
-   a link. Then the sets are compared in full: first each class with its best pivot, then what is still in two components.
+1. Each text becomes a signature and a 128-bit key of its set. A coordinate is a bin of one permutation: the smallest hash among those
+   with the same first bits; bins without any have no coordinate. Documents of one key are one class.
+2. Of the m bins that A | B fills, each agrees with the chance J = |A & B| / |A | B|, so a linked pair agrees in at least T(m), the
+   quantile of a binomial law at `MISS`. A class can thus differ from a linked one in a bounded number d of its own coordinates, and the
+   pair meets in one of its d + 1 rarest (prefix, by counts over all classes; a value that one class alone holds takes a place and is
+   posted nowhere). Those are posted under their coordinate-value pairs.
+3. Lists are not expanded into pairs. In each round the first k members of a list (k = 1, 16, 256 ...) are pivots: the others meet
+   them, unless both already are in one component or their set sizes forbid a link. Collisions on the lists outside the prefix are not merged
+   but looked up (skip): one byte of each coordinate tells equal from different, and a pair goes on from T(m) on. Then its sets are
+   compared in full; in the first round each class only with its best pivot.
 4. Pivots leave their lists, lists inside one component end. A round ends when links are merged (alternating large and small stars);
    rounds end when no list is left. So every pair that shares a posting is either compared or already connected: components are as
    if all pairs had been compared, while a group of n near-copies costs about n comparisons.
 
-A pair of similarity 0.8 or more that agrees in fewer than 14 of 32 coordinates is missed: less than one in a million.
+A linked pair is missed if it agrees in fewer than T(m) coordinates: at most one in a million.
 
 Nothing about documents reaches the driver but counts of rounds. Skew: counts are aggregated before shuffles, hot lists are joined
 with their few pivots by joins that Spark can split, hot pivots are spread likewise. Tables between rounds are written to the shared
@@ -30,14 +32,17 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm.common import Scratch, ship, utf8
+from quadloom.llm.exact_dedup import located
 
-WIDTH, PERCENT, COORDINATES, MATCHES = 4, 80, 32, 14
+WIDTH, PERCENT, BITS, MISS, GROWTH = 4, 80, 7, 1e-6, 16
 
 
 def shingles(raw: bytes, width: int):
@@ -61,8 +66,9 @@ def shingles(raw: bytes, width: int):
     return np.unique(h)
 
 
-def set_key(found) -> bytes:
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+def set_key(found) -> tuple[int, int]:
+    d = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def linked(a, b, percent: int) -> bool:
@@ -77,58 +83,106 @@ def linked(a, b, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def signatures(docs: DataFrame, width: int, coordinates: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n (set size), key, sig array<int>, row (a number of its own, fixed once written)."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType(), False)), T.StructField("row", T.LongType())])
+@lru_cache(8)
+def least_matches(bins: int, percent: int, miss: float = MISS) -> list[int]:
+    """T(m) for m = 0 ... bins: fewer agree with a chance of at most `miss`."""
+    p, out = percent / 100, [0]
+    for m in range(1, bins + 1):
+        below, t = 0.0, 0
+        while t < m and (below := below + comb(m, t) * p**t * (1 - p) ** (m - t)) <= miss:
+            t += 1
+        out.append(t)
+    return out
+
+
+def coordinates(found, bits: int):
+    """(bin, 32-bit value) of each bin that is filled: its first hash, since the hashes are sorted."""
+    import numpy as np
+
+    at = (found >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(found) else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        mixed = found[first] * np.uint64(0xD6E8FEB86659FD93)
+    return at[first], (mixed >> np.uint64(32)).astype(np.int64)
+
+
+def signatures(docs: DataFrame, width: int, percent: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of docs with _ql_file and _ql_at: id, n (set size), k1, k2 (key), posts (coordinate-value pairs), spare (how many more than its
+    own coordinates are posted; below 0: fewer), marks (a byte per coordinate), file, at, row (a number of its own, fixed once written)."""
+    long, longs = T.LongType(), T.ArrayType(T.LongType(), False)
+    names = {"n": long, "k1": long, "k2": long, "posts": longs, "spare": long, "marks": longs, "file": long, "at": long, "row": long}
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(k, t) for k, t in names.items())])
+    bins = 1 << bits
+    differ = [m - t for m, t in enumerate(least_matches(bins, percent))]
+    most = [max(differ[: m + 1]) for m in range(bins + 1)]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        odd = np.random.default_rng(20).integers(1, 1 << 63, coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                sizes, keys, sigs = [], [], []
-                for raw in utf8(part.column(1)):
+                sizes, k1, k2, posts, spare, marks = [], [], [], [], [], np.zeros((part.num_rows, bins), np.uint8)
+                for k, raw in enumerate(utf8(part.column(1))):
                     found = shingles(raw, width)
                     sizes.append(len(found))
-                    keys.append(set_key(found))
-                    if len(found):
-                        low = np.full(coordinates, np.uint64((1 << 64) - 1))
-                        for k in range(0, len(found), 4096):
-                            np.minimum(low, (found[k : k + 4096, None] * odd).min(0), low)
-                        sigs.append((low >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    else:
-                        sigs.append(np.zeros(0, np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32()), pa.array(np.concatenate(sigs), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(range(row, row + len(sizes)), pa.int64())], names=schema.names)
-                row += len(sizes)
-
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+                    a, c = set_key(found)
+                    k1.append(a)
+                    k2.append(c)
+                    at, value = coordinates(found, bits)
+                    posts.append(at << 32 | value)
+                    marks[k, at] = value % 255 + 1
+                    # a linked set has at most len / similarity in common with or beside this one
+                    filled = min(bins, len(at) + len(found) * 100 // percent - len(found))
+                    spare.append(most[filled] + 1 - len(at))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, posts)]), pa.int32()), pa.array(np.concatenate(posts) if posts else [], pa.int64()))
+                packed = pa.ListArray.from_arrays(pa.array(np.arange(0, part.num_rows * bins // 8 + 1, bins // 8), pa.int32()), pa.array(marks.reshape(-1).view(np.int64), pa.int64()))
+                numbers = [pa.array(x, pa.int64()) for x in (sizes, k1, k2, spare, range(row, row + part.num_rows))]
+                yield pa.RecordBatch.from_arrays([part.column(0), numbers[0], numbers[1], numbers[2], lists, numbers[3], packed, part.column(2), part.column(3), numbers[4]], names=schema.names)
+                row += part.num_rows
+
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.col("_ql_file").alias("file"), F.col("_ql_at").alias("at")).mapInArrow(run, schema)
+
+
+def _filled_bytes(x: str) -> str:
+    """SQL for how many of a long's 8 bytes aren't zero."""
+    for shift in (4, 2, 1):
+        x = f"({x} | shiftrightunsigned({x}, {shift}))"
+    return f"bit_count({x} & 72340172838076673L)"
+
+
+def similar_enough(a: str, b: str, bins: int, percent: int) -> Column:
+    """Do two arrays of marks agree in as many coordinates as a linked pair must?"""
+    least = ", ".join(map(str, least_matches(bins, percent)))
+    both = f"aggregate(zip_with({a}, {b}, (x, y) -> named_struct('u', x | y, 'd', x ^ y)), named_struct('m', 0, 'd', 0), (s, z) -> named_struct('m', s.m + {_filled_bytes('z.u')}, 'd', s.d + {_filled_bytes('z.d')}))"
+    return F.expr(f"transform(array({both}), s -> struct(s.m - s.d AS equal, s.m - s.d >= element_at(array({least}), s.m + 1) AS enough))[0]")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
     """(node, root) of every node of (a, b) edges, root being the smallest node of its component; None if there is no edge."""
-    now = scratch.table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}_0")
-    state = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before, k = state(now), 0
+
+    def put(df, table):
+        seen = Observation()
+        out = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), table)
+        return out, (seen.get.get("n") or 0, seen.get.get("h"))
+
+    now, before = put(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}_0")
     if not before[0]:
+        scratch.drop(f"{name}_0")
         return None
+    k = 0
     while True:
         k += 1
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = scratch.table(large, f"{name}_{k}_large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))  # here a > b always
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).where("a != b").distinct()
-        new = scratch.table(small, f"{name}_{k}")
-        scratch.drop(f"{name}_{k}_large", f"{name}_{k - 1}")
-        after = state(new)
-        now = new
+        now, after = put(small, f"{name}_{k}")
+        scratch.drop(f"{name}_{k - 1}")
         if after == before:
             break
         before = after
@@ -157,32 +211,42 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 p, u = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ok = [linked(of(y, yt), shingles(xt, width), percent) for y, xt, yt in zip(p, utf8(part.column(2)), utf8(part.column(3)), strict=True)]
+                ok = [linked(of(y, yt), of(x, xt), percent) for y, x, xt, yt in zip(p, u, utf8(part.column(2)), utf8(part.column(3)), strict=True)]
                 kept = [k for k, yes in enumerate(ok) if yes]
                 yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in kept], pa.int64()), pa.array([p[k] for k in kept], pa.int64())], names=["a", "b"])
 
     return both.select("p", "u", "u_text", "p_text").mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _stored(scratch: Scratch, df: DataFrame, table: str) -> tuple[DataFrame, int]:
+    """A written table and its number of rows, in one job."""
+    seen = Observation()
+    out = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n")), table)
+    return out, seen.get.get("n") or 0
+
+
+def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near")
-    prefix = coordinates - matches + 1
-    rows = scratch.table(signatures(docs, width, coordinates, id_col, text_col), "rows")
-    classes = scratch.table(rows.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("id"), F.min("n").alias("n"), F.first("sig").alias("sig")), "classes")
-
-    posted = classes.select("node", F.posexplode("sig").alias("j", "v")).select("node", (F.shiftleft(F.col("j").cast("long"), 33) + F.col("v").cast("long")).alias("key"))
-    often = posted.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    docs = located(docs, scratch)
+    rows = scratch.table(signatures(docs, width, percent, bits, id_col, text_col), "rows")
+    one = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("id"))
+    one = scratch.table(one, "one")
+    classes = rows.select(F.col("row").alias("node"), "n", "posts", "spare", "marks", "file", "at").join(one.select("node"), "node")
+    classes = scratch.table(classes, "classes")
+
+    posted = classes.select("node", F.explode("posts").alias("key"))
+    often = posted.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = posted.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
-    left = F.lit(prefix - coordinates) + F.size("keys")  # values of this class alone have taken the other places
-    lists = scratch.table(shared.where(left > 0).select("node", F.explode(F.slice("keys", F.lit(1), left)).alias("k")).select("node", F.col("k.key").alias("key")), "lists_0")
+    shared = shared.join(classes.select("node", "n", "spare"), "node").withColumn("left", (F.col("spare") + F.size("keys")).cast("int"))  # values of this class alone have taken the other places
+    lists = scratch.table(shared.where("left > 0").select("node", "n", F.explode(F.slice("keys", F.lit(1), F.col("left"))).alias("k")).select("node", "n", F.col("k.key").alias("key")), "lists_0")
 
-    asked = lists.select("node").distinct().join(classes.select("node", "id", "key"), "node")
-    texts = docs.select(docs[id_col].alias("t_id"), docs[text_col].alias("text")).join(asked, F.col("t_id").eqNullSafe(F.col("id")), "inner").select("node", "key", "text")
-    texts = scratch.table(_of_class(texts, width), "texts")
-    sigs = classes.select("node", "n", "sig")
+    asked = classes.select("node", "file", "at").join(lists.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.col("_ql_file").alias("file"), F.col("_ql_at").alias("at"), docs[text_col].alias("text")).join(asked, ["file", "at"]).select("node", "text")
+    texts = scratch.table(texts, "texts")
+    sigs = classes.select("node", "marks")
     comps = None  # (node, root) where a class has been linked
 
     def rooted(t, node, root):
@@ -196,53 +260,41 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordin
         step += 1
         placed = scratch.table(rooted(lists, "node", "comp"), f"placed_{step}")
         live = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        placed = scratch.table(placed.join(live, "key"), f"live_{step}")
+        placed, left = _stored(scratch, placed.join(live, "key"), f"live_{step}")
         scratch.drop(f"placed_{step}", f"lists_{step - 1}")
-        if placed.isEmpty():
+        if not left:
             break
         if pivots == 1:
-            first = placed.groupBy("key").agg(F.min("node").alias("p")).join(placed.select("key", F.col("node").alias("p"), F.col("comp").alias("p_comp")), ["key", "p"])
+            first = placed.groupBy("key").agg(F.min(F.struct("node", "n", "comp")).alias("f")).select("key", F.col("f.node").alias("p"), F.col("f.n").alias("p_n"), F.col("f.comp").alias("p_comp"))
         else:
             placed.createOrReplaceTempView(view := f"quadloom_live_{scratch.base[-32:]}")
-            first = spark.sql(f"SELECT key, node AS p, comp AS p_comp FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY node) AS r FROM {view}) WHERE r <= {pivots}")
+            first = spark.sql(f"SELECT key, node AS p, n AS p_n, comp AS p_comp FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY node) AS r FROM {view}) WHERE r <= {pivots}")
         first = scratch.table(first, f"pivots_{step}")
-        met = placed.join(first, "key").where("node > p AND comp != p_comp").select(F.col("node").alias("u"), "p").distinct()
-        sized = met.join(sigs.toDF("u", "u_n", "u_sig"), "u").join(sigs.toDF("p", "p_n", "p_sig"), "p")
-        equal = F.size(F.filter(F.zip_with("u_sig", "p_sig", lambda x, y: x == y), lambda same: same))
-        pairs = sized.where(F.lit(100) * F.least("u_n", "p_n") >= F.lit(percent) * F.greatest("u_n", "p_n")).withColumn("equal", equal).where(F.col("equal") >= matches).select("u", "p", "equal")
-        pairs = scratch.table(pairs, f"pairs_{step}")
-        best = pairs.groupBy("u").agg(F.max("equal").alias("equal")).join(pairs, ["u", "equal"]).groupBy("u").agg(F.min("p").alias("p"))
-        for phase in ("best", "rest"):
-            if phase == "rest":
-                best = rooted(rooted(pairs, "u", "u_comp"), "p", "p_comp").where("u_comp != p_comp").select("u", "p")
-            edges = scratch.table(_confirmed(best, texts, width, percent), f"edges_{step}_{phase}")
+        fits = F.lit(100) * F.least("n", "p_n") >= F.lit(percent) * F.greatest("n", "p_n")
+        met = placed.join(first, "key").where((F.col("node") > F.col("p")) & (F.col("comp") != F.col("p_comp")) & fits).select(F.col("node").alias("u"), "p").distinct()
+        known = met.join(sigs.toDF("u", "u_marks"), "u").join(sigs.toDF("p", "p_marks"), "p").select("u", "p", similar_enough("u_marks", "p_marks", 1 << bits, percent).alias("s"))
+        pairs = known.where("s.enough").select("u", "p", F.col("s.equal").alias("equal"))
+        if pivots == 1:
+            pairs = pairs.groupBy("u").agg(F.max(F.struct("equal", (-F.col("p")).alias("p"))).alias("best")).select("u", (-F.col("best.p")).alias("p"))
+        pairs, n = _stored(scratch, pairs.select("u", "p"), f"pairs_{step}")
+        edges, n = _stored(scratch, _confirmed(pairs, texts, width, percent), f"edges_{step}") if n else (None, 0)
+        if n:
             joined = edges.select(F.col("a").alias("u"), F.col("b").alias("p"))
-            merged = components(rooted(rooted(joined, "u", "a"), "p", "b").select("a", "b"), scratch, f"cc_{step}_{phase}")
-            if merged is None:
-                continue
-            if comps is not None:
-                moved = comps.join(merged.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-                merged = moved.union(merged.join(comps.select("node"), "node", "left_anti"))
-            comps = scratch.table(merged, f"comps_{step}_{phase}")
-        lists = scratch.table(placed.join(first.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti").select("node", "key"), f"lists_{step}")
-        scratch.drop(f"pairs_{step}", f"live_{step}", f"pivots_{step}")
-        pivots *= 4
-    scratch.drop("texts")
-    of_class = rooted(classes.select("key", "node", "id"), "node", "comp")
+            merged = components(rooted(rooted(joined, "u", "a"), "p", "b").select("a", "b"), scratch, f"cc_{step}")
+            if merged is not None:
+                if comps is not None:
+                    moved = comps.join(merged.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+                    merged = moved.union(merged.join(comps.select("node"), "node", "left_anti"))
+                comps = scratch.table(merged, f"comps_{step}")
+        lists = placed.select("node", "n", "key")
+        if pivots > 1:  # in the first round only the best pairs were compared
+            lists = lists.join(first.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti").select("node", "n", "key")
+        lists = scratch.table(lists, f"lists_{step}")
+        scratch.drop(f"pairs_{step}", f"edges_{step}", f"live_{step}", f"pivots_{step}")
+        pivots *= GROWTH
+    scratch.drop("texts", "classes")
+    of_class = rooted(one.select("k1", "k2", "node", "id"), "node", "comp")
     smallest = of_class.groupBy("comp").agg(F.min("id").alias("component_id"))
-    of_class = of_class.join(smallest, "comp").select("key", "component_id")
-    out = rows.join(of_class, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    of_class = of_class.join(smallest, "comp").select("k1", "k2", "component_id")
+    out = rows.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _of_class(texts: DataFrame, width: int) -> DataFrame:
-    """(node, text): of (node, key, text), the rows whose text has the class's set, one a class."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            ok = [set_key(shingles(raw, width)) == key for key, raw in zip(b.column(1).to_pylist(), utf8(b.column(2)), strict=True)]
-            yield b.filter(pa.array(ok, pa.bool_())).select(["node", "text"])
-
-    return texts.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
