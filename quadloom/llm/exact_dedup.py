@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from quadloom.llm.common import Scratch
 
 WHITE = " \t\n\x0b\x0c\r"
-_STATE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Disk is taken as it is filled: else each of many small stores has megabytes set aside
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 _BEST = ["short", "no_id", "id", "file", "at"]
 
 
@@ -54,8 +58,9 @@ def located(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def streamed_groups(digests: DataFrame, scratch: Scratch, files_per_batch: int) -> DataFrame:
     """(digest, group_size, best) of the written table `digests`, by a stateful streaming query that ends with its input."""
     spark = digests.sparkSession
-    old = spark.conf.get(_STATE, None)
-    spark.conf.set(_STATE, _ROCKS)
+    old = {k: spark.conf.get(k, None) for k in _ROCKS}
+    for k, v in _ROCKS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_batch).parquet(scratch.path("digests"))
         state = stream.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(F.struct(*_BEST)).alias("best"))
@@ -66,7 +71,8 @@ def streamed_groups(digests: DataFrame, scratch: Scratch, files_per_batch: int)
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(_STATE, old) if old else spark.conf.unset(_STATE)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = state.schema.add("batch", "long")
     changed = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     batches = (query.lastProgress or {}).get("batchId", -1) + 1 if query.lastProgress else 0
