@@ -242,8 +242,12 @@ class Lowering:
         return f"_c{self.n}"
 
     def run(self, steps, state: State) -> State:
-        for name, args in steps:
-            state = getattr(self, "do_" + name)(state, *args)
+        for k, (name, args) in enumerate(steps):
+            if name == "back" and args[0] not in state.tags and not state.hidden:
+                # no such tag: the path so far, the other way round
+                state = self.run(Path(None, tuple(steps[:k])).reverse().steps, State("all"))
+            else:
+                state = getattr(self, "do_" + name)(state, *args)
         return state
 
     def sub(self, path: Path, state: State | None = None) -> State:

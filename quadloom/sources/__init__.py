@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers and writers of quads."""
