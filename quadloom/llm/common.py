@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -63,6 +64,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def release(self) -> None:
+        """Shuffle files of finished jobs go when the driver's references to them are collected; loops ask for that, else disks fill."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: str) -> None:
         try:
             jvm = self.spark.sparkContext._jvm

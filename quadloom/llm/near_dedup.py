@@ -6,19 +6,22 @@ shingles as 64-bit hashes (with fewer words, the whole sequence is one). Two doc
 Method.
 1. Each text becomes a signature and a 128-bit key of its set. A coordinate is a bin of one permutation: the smallest hash among those
    with the same first bits; bins without any have no coordinate. Documents of one key are one class.
-2. Of the m bins that A | B fills, each agrees with the chance J = |A & B| / |A | B|, so a linked pair agrees in at least T(m), the
-   quantile of a binomial law at `MISS`. A class can thus differ from a linked one in a bounded number d of its own coordinates, and the
-   pair meets in one of its d + 1 rarest (prefix, by counts over all classes; a value that one class alone holds takes a place and is
-   posted nowhere). Those are posted under their coordinate-value pairs.
-3. Lists are not expanded into pairs. In each round the first k members of a list (k = 1, 16, 256 ...) are pivots: the others meet
-   them, unless both already are in one component or their set sizes forbid a link. Collisions on the lists outside the prefix are not merged
-   but looked up (skip): one byte of each coordinate tells equal from different, and a pair goes on from T(m) on. Then its sets are
-   compared in full; in the first round each class only with its best pivot.
-4. Pivots leave their lists, lists inside one component end. A round ends when links are merged (alternating large and small stars);
+2. Of the m bins that A | B fills, each differs with the chance 1 - |A & B| / |A | B|, so a linked pair differs in at most D(m), the
+   quantile of a binomial law at `MISS`; nor can it differ in more bins than A and B have shingles apart, a quarter of either set. A class can
+   thus differ from a linked one in a bounded number d of its own coordinates, and the pair meets in one of its d + 1 rarest (prefix, by
+   counts over all classes; a value that one class alone holds takes a place and is posted nowhere). Those are posted under their
+   coordinate-value pairs.
+3. Of the posted classes' shingles those that no other posted class has are counted: a class can share only its others, so a pair
+   whose others are too few for a link never meets (the same prefix filter on whole sets).
+4. Lists are not expanded into pairs. In each round the first k members of a list (k = 1, 16, 256 ...) are pivots: the others meet
+   them, unless both already are in one component or sizes forbid a link. Lists outside the prefix are not merged (skip):
+   collisions are counted on finer coordinates, one bit each, and a pair goes on if it has no fewer than a linked one, by the same
+   law. Then its sets are compared in full; in the first round each class only with its best pivot.
+5. Pivots leave their lists, lists inside one component end. A round ends when links are merged (alternating large and small stars);
    rounds end when no list is left. So every pair that shares a posting is either compared or already connected: components are as
    if all pairs had been compared, while a group of n near-copies costs about n comparisons.
 
-A linked pair is missed if it agrees in fewer than T(m) coordinates: at most one in a million.
+A linked pair is missed if it differs in more coordinates than either bound: about one in a million each.
 
 Nothing about documents reaches the driver but counts of rounds. Skew: counts are aggregated before shuffles, hot lists are joined
 with their few pivots by joins that Spark can split, hot pivots are spread likewise. Tables between rounds are written to the shared
@@ -33,16 +36,15 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from math import comb
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm.common import Scratch, ship, utf8
 from quadloom.llm.exact_dedup import located
 
-WIDTH, PERCENT, BITS, MISS, GROWTH = 4, 80, 7, 1e-6, 16
+WIDTH, PERCENT, BITS, MARK_BITS, MISS, GROWTH = 4, 80, 7, 10, 1e-6, 16
 
 
 def shingles(raw: bytes, width: int):
@@ -84,14 +86,17 @@ def linked(a, b, percent: int) -> bool:
 
 
 @lru_cache(8)
-def least_matches(bins: int, percent: int, miss: float = MISS) -> list[int]:
-    """T(m) for m = 0 ... bins: fewer agree with a chance of at most `miss`."""
-    p, out = percent / 100, [0]
-    for m in range(1, bins + 1):
-        below, t = 0.0, 0
-        while t < m and (below := below + comb(m, t) * p**t * (1 - p) ** (m - t)) <= miss:
-            t += 1
-        out.append(t)
+def most_different(bins: int, chance: float, miss: float = MISS) -> list[int]:
+    """D(m) for m = 0 ... bins: more than D(m) of m differ with a chance of at most `miss`, if each does with `chance`."""
+    out, law = [0], [1.0]  # law[d]: chance that d of m differ
+    for _ in range(bins):
+        law = [a * (1 - chance) + b * chance for a, b in zip([*law, 0.0], [0.0, *law], strict=True)]
+        above, d = 0.0, len(law) - 1
+        while d and (above := above + law[d]) <= miss:
+            d -= 1
+        out.append(d)
+        while law[-1] < 1e-30:  # what can't matter any more
+            law.pop()
     return out
 
 
@@ -106,15 +111,27 @@ def coordinates(found, bits: int):
     return at[first], (mixed >> np.uint64(32)).astype(np.int64)
 
 
+def marks(found, bits: int):
+    """One bit for each of the 2**bits finer bins, of its first hash (0 if it is empty), as 64-bit numbers."""
+    import numpy as np
+
+    out = np.zeros(1 << bits, np.uint8)
+    if len(found):
+        at = (found >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        with np.errstate(over="ignore"):
+            out[at[first]] = ((found[first] * np.uint64(0xA0761D6478BD642F)) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(out).view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int, percent: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     """Per row of docs with _ql_file and _ql_at: id, n (set size), k1, k2 (key), posts (coordinate-value pairs), spare (how many more than its
-    own coordinates are posted; below 0: fewer), marks (a byte per coordinate), file, at, row (a number of its own, fixed once written)."""
+    own coordinates are posted; below 0: fewer), marks, most (marks in which a linked set may differ), file, at, row (a number of its own, fixed once written)."""
     long, longs = T.LongType(), T.ArrayType(T.LongType(), False)
-    names = {"n": long, "k1": long, "k2": long, "posts": longs, "spare": long, "marks": longs, "file": long, "at": long, "row": long}
+    names = {"n": long, "k1": long, "k2": long, "posts": longs, "spare": long, "marks": longs, "most": long, "file": long, "at": long, "row": long}
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(k, t) for k, t in names.items())])
-    bins = 1 << bits
-    differ = [m - t for m, t in enumerate(least_matches(bins, percent))]
-    most = [max(differ[: m + 1]) for m in range(bins + 1)]
+    bins, fine = 1 << bits, 1 << MARK_BITS
+    differ, marked = most_different(bins, 1 - percent / 100), most_different(fine, (1 - percent / 100) / 2)
 
     def run(batches):
         import numpy as np
@@ -125,42 +142,29 @@ def signatures(docs: DataFrame, width: int, percent: int, bits: int, id_col: str
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                sizes, k1, k2, posts, spare, marks = [], [], [], [], [], np.zeros((part.num_rows, bins), np.uint8)
-                for k, raw in enumerate(utf8(part.column(1))):
+                sizes, k1, k2, posts, spare, most, held = [], [], [], [], [], [], []
+                for raw in utf8(part.column(1)):
                     found = shingles(raw, width)
-                    sizes.append(len(found))
+                    n = len(found)
+                    sizes.append(n)
                     a, c = set_key(found)
                     k1.append(a)
                     k2.append(c)
                     at, value = coordinates(found, bits)
                     posts.append(at << 32 | value)
-                    marks[k, at] = value % 255 + 1
-                    # a linked set has at most len / similarity in common with or beside this one
-                    filled = min(bins, len(at) + len(found) * 100 // percent - len(found))
-                    spare.append(most[filled] + 1 - len(at))
+                    apart = n * (100 - percent) // percent  # shingles in one of two linked sets only; beside this set at most as many
+                    spare.append(min(differ[min(bins, len(at) + apart)], apart) + 1 - len(at))
+                    held.append(marks(found, MARK_BITS))
+                    most.append(min(marked[min(fine, n + apart)], apart))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, posts)]), pa.int32()), pa.array(np.concatenate(posts) if posts else [], pa.int64()))
-                packed = pa.ListArray.from_arrays(pa.array(np.arange(0, part.num_rows * bins // 8 + 1, bins // 8), pa.int32()), pa.array(marks.reshape(-1).view(np.int64), pa.int64()))
-                numbers = [pa.array(x, pa.int64()) for x in (sizes, k1, k2, spare, range(row, row + part.num_rows))]
-                yield pa.RecordBatch.from_arrays([part.column(0), numbers[0], numbers[1], numbers[2], lists, numbers[3], packed, part.column(2), part.column(3), numbers[4]], names=schema.names)
-                row += part.num_rows
+                packed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * fine // 64 + 1, fine // 64), pa.int32()), pa.array(np.concatenate(held) if held else [], pa.int64()))
+                numbers = [pa.array(x, pa.int64()) for x in (sizes, k1, k2, spare, most, range(row, row + len(sizes)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), numbers[0], numbers[1], numbers[2], lists, numbers[3], packed, numbers[4], part.column(2), part.column(3), numbers[5]], names=schema.names)
+                row += len(sizes)
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.col("_ql_file").alias("file"), F.col("_ql_at").alias("at")).mapInArrow(run, schema)
 
 
-def _filled_bytes(x: str) -> str:
-    """SQL for how many of a long's 8 bytes aren't zero."""
-    for shift in (4, 2, 1):
-        x = f"({x} | shiftrightunsigned({x}, {shift}))"
-    return f"bit_count({x} & 72340172838076673L)"
-
-
-def similar_enough(a: str, b: str, bins: int, percent: int) -> Column:
-    """Do two arrays of marks agree in as many coordinates as a linked pair must?"""
-    least = ", ".join(map(str, least_matches(bins, percent)))
-    both = f"aggregate(zip_with({a}, {b}, (x, y) -> named_struct('u', x | y, 'd', x ^ y)), named_struct('m', 0, 'd', 0), (s, z) -> named_struct('m', s.m + {_filled_bytes('z.u')}, 'd', s.d + {_filled_bytes('z.d')}))"
-    return F.expr(f"transform(array({both}), s -> struct(s.m - s.d AS equal, s.m - s.d >= element_at(array({least}), s.m + 1) AS enough))[0]")
-
-
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
     """(node, root) of every node of (a, b) edges, root being the smallest node of its component; None if there is no edge."""
 
@@ -218,6 +222,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("p", "u", "u_text", "p_text").mapInArrow(run, "a long, b long")
 
 
+def _shingled(texts: DataFrame, width: int) -> DataFrame:
+    """(node, h) of (node, text): every shingle of every text."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                found = [shingles(raw, width) for raw in utf8(part.column(1))]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(found).view(np.int64), pa.int64())], names=["node", "h"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, h long")
+
+
 def _stored(scratch: Scratch, df: DataFrame, table: str) -> tuple[DataFrame, int]:
     """A written table and its number of rows, in one job."""
     seen = Observation()
@@ -232,21 +253,23 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: i
     scratch = Scratch(spark, "near")
     docs = located(docs, scratch)
     rows = scratch.table(signatures(docs, width, percent, bits, id_col, text_col), "rows")
-    one = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("id"))
-    one = scratch.table(one, "one")
-    classes = rows.select(F.col("row").alias("node"), "n", "posts", "spare", "marks", "file", "at").join(one.select("node"), "node")
-    classes = scratch.table(classes, "classes")
+    one = scratch.table(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("id")), "one")
 
-    posted = classes.select("node", F.explode("posts").alias("key"))
+    posted = rows.select(F.col("row").alias("node"), "posts").join(one.select("node"), "node").select("node", F.explode("posts").alias("key"))
     often = posted.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = posted.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
-    shared = shared.join(classes.select("node", "n", "spare"), "node").withColumn("left", (F.col("spare") + F.size("keys")).cast("int"))  # values of this class alone have taken the other places
-    lists = scratch.table(shared.where("left > 0").select("node", "n", F.explode(F.slice("keys", F.lit(1), F.col("left"))).alias("k")).select("node", "n", F.col("k.key").alias("key")), "lists_0")
+    shared = shared.join(rows.select(F.col("row").alias("node"), "n", "spare"), "node").withColumn("left", (F.col("spare") + F.size("keys")).cast("int"))  # values of this class alone have taken the other places
+    lists = scratch.table(shared.where("left > 0").select("node", "n", F.explode(F.slice("keys", F.lit(1), F.col("left"))).alias("k")).select("node", "n", F.col("k.key").alias("key")), "lists")
 
-    asked = classes.select("node", "file", "at").join(lists.select("node").distinct(), "node", "left_semi")
-    texts = docs.select(F.col("_ql_file").alias("file"), F.col("_ql_at").alias("at"), docs[text_col].alias("text")).join(asked, ["file", "at"]).select("node", "text")
+    asked = rows.select(F.col("row").alias("node"), "marks", "most", "file", "at").join(lists.select("node").distinct(), "node", "left_semi")
+    asked = scratch.table(asked, "asked")
+    texts = docs.select(F.col("_ql_file").alias("file"), F.col("_ql_at").alias("at"), docs[text_col].alias("text")).join(asked.select("node", "file", "at"), ["file", "at"]).select("node", "text")
     texts = scratch.table(texts, "texts")
-    sigs = classes.select("node", "marks")
+    alone = _shingled(texts, width).groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    lists = lists.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"), "key")
+    lists = scratch.table(lists.where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n")), "lists_0")
+    scratch.drop("lists")
+    sigs = asked.select("node", "marks", "most")
     comps = None  # (node, root) where a class has been linked
 
     def rooted(t, node, root):
@@ -265,17 +288,18 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: i
         if not left:
             break
         if pivots == 1:
-            first = placed.groupBy("key").agg(F.min(F.struct("node", "n", "comp")).alias("f")).select("key", F.col("f.node").alias("p"), F.col("f.n").alias("p_n"), F.col("f.comp").alias("p_comp"))
+            first = placed.groupBy("key").agg(F.min(F.struct("node", "n", "c", "comp")).alias("f")).select("key", F.col("f.node").alias("p"), F.col("f.n").alias("p_n"), F.col("f.c").alias("p_c"), F.col("f.comp").alias("p_comp"))
         else:
             placed.createOrReplaceTempView(view := f"quadloom_live_{scratch.base[-32:]}")
-            first = spark.sql(f"SELECT key, node AS p, n AS p_n, comp AS p_comp FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY node) AS r FROM {view}) WHERE r <= {pivots}")
+            first = spark.sql(f"SELECT key, node AS p, n AS p_n, c AS p_c, comp AS p_comp FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY node) AS r FROM {view}) WHERE r <= {pivots}")
         first = scratch.table(first, f"pivots_{step}")
-        fits = F.lit(100) * F.least("n", "p_n") >= F.lit(percent) * F.greatest("n", "p_n")
+        fits = F.lit(100 + percent) * F.least("c", "p_c") >= F.lit(percent) * (F.col("n") + F.col("p_n"))
         met = placed.join(first, "key").where((F.col("node") > F.col("p")) & (F.col("comp") != F.col("p_comp")) & fits).select(F.col("node").alias("u"), "p").distinct()
-        known = met.join(sigs.toDF("u", "u_marks"), "u").join(sigs.toDF("p", "p_marks"), "p").select("u", "p", similar_enough("u_marks", "p_marks", 1 << bits, percent).alias("s"))
-        pairs = known.where("s.enough").select("u", "p", F.col("s.equal").alias("equal"))
+        apart = F.expr("aggregate(zip_with(u_marks, p_marks, (x, y) -> bit_count(x ^ y)), 0, (n, d) -> n + d)")
+        known = met.join(sigs.toDF("u", "u_marks", "u_most"), "u").join(sigs.toDF("p", "p_marks", "p_most"), "p").withColumn("apart", apart)
+        pairs = known.where(F.col("apart") <= F.least("u_most", "p_most")).select("u", "p", "apart")
         if pivots == 1:
-            pairs = pairs.groupBy("u").agg(F.max(F.struct("equal", (-F.col("p")).alias("p"))).alias("best")).select("u", (-F.col("best.p")).alias("p"))
+            pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "p")).alias("best")).select("u", F.col("best.p").alias("p"))
         pairs, n = _stored(scratch, pairs.select("u", "p"), f"pairs_{step}")
         edges, n = _stored(scratch, _confirmed(pairs, texts, width, percent), f"edges_{step}") if n else (None, 0)
         if n:
@@ -286,13 +310,14 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: i
                     moved = comps.join(merged.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
                     merged = moved.union(merged.join(comps.select("node"), "node", "left_anti"))
                 comps = scratch.table(merged, f"comps_{step}")
-        lists = placed.select("node", "n", "key")
+        lists = placed.select("node", "n", "c", "key")
         if pivots > 1:  # in the first round only the best pairs were compared
-            lists = lists.join(first.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti").select("node", "n", "key")
+            lists = lists.join(first.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti").select("node", "n", "c", "key")
         lists = scratch.table(lists, f"lists_{step}")
         scratch.drop(f"pairs_{step}", f"edges_{step}", f"live_{step}", f"pivots_{step}")
+        scratch.release()
         pivots *= GROWTH
-    scratch.drop("texts", "classes")
+    scratch.drop("texts", "asked")
     of_class = rooted(one.select("k1", "k2", "node", "id"), "node", "comp")
     smallest = of_class.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_class = of_class.join(smallest, "comp").select("k1", "k2", "component_id")
