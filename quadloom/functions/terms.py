@@ -178,7 +178,12 @@ def time_key(c: Column) -> Column:
     return _typed_key(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), TIME)
 
 
-KEY_OF = {"string": string_key, "bigint": int_key, "int": int_key, "smallint": int_key, "tinyint": int_key, "double": float_key, "float": float_key, "boolean": bool_key, "timestamp": time_key, "date": time_key}
+def local_time_key(c: Column) -> Column:
+    """Of times without a zone, which count as UTC."""
+    return _typed_key(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), TIME)
+
+
+KEY_OF = {"string": string_key, "bigint": int_key, "int": int_key, "smallint": int_key, "tinyint": int_key, "double": float_key, "float": float_key, "boolean": bool_key, "timestamp": time_key, "timestamp_ntz": local_time_key, "date": local_time_key}
 
 
 # ... and back

@@ -262,7 +262,7 @@ def frame(store, query) -> DataFrame:
     """The plan: id, and a column per tag for Select and Documents."""
     kind, path, tags = parse(query)
     df = path.on(store).to_df(kind != "values")
-    return df.select("id", *tags) if tags else df
+    return df.select("id", *(F.col(f"`{t}`") for t in tags)) if tags else df
 
 
 def documents_frame(store, query) -> DataFrame:
