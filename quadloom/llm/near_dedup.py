@@ -13,7 +13,8 @@ Method.
    coordinate-value pairs.
 3. Of the posted classes' shingles those that no other posted class has are counted: a class can share only its others, so a pair
    whose others are too few for a link never meets (the same prefix filter on whole sets).
-4. Lists are not expanded into pairs. In each round the first k members of a list (k = 1, 16, 256 ...) are pivots: the others meet
+4. Lists are not expanded into pairs. In each round k members of a list (k = 1, 16, 256 ...) are pivots, those with the fewest
+   shingles of their own first, since copies have most in common with what they were made from: the others meet
    them, unless both already are in one component or sizes forbid a link. Lists outside the prefix are not merged (skip):
    collisions are counted on finer coordinates, one bit each, and a pair goes on if it has no fewer than a linked one, by the same
    law. Then its sets are compared in full; in the first round each class only with its best pivot.
@@ -288,13 +289,14 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: i
         if not left:
             break
         if pivots == 1:
-            first = placed.groupBy("key").agg(F.min(F.struct("node", "n", "c", "comp")).alias("f")).select("key", F.col("f.node").alias("p"), F.col("f.n").alias("p_n"), F.col("f.c").alias("p_c"), F.col("f.comp").alias("p_comp"))
+            first = placed.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("c")).alias("alone"), "node", "n", "c", "comp")).alias("f")).select("key", F.col("f.node").alias("p"), F.col("f.n").alias("p_n"), F.col("f.c").alias("p_c"), F.col("f.comp").alias("p_comp"))
         else:
             placed.createOrReplaceTempView(view := f"quadloom_live_{scratch.base[-32:]}")
-            first = spark.sql(f"SELECT key, node AS p, n AS p_n, c AS p_c, comp AS p_comp FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY node) AS r FROM {view}) WHERE r <= {pivots}")
+            first = spark.sql(f"SELECT key, node AS p, n AS p_n, c AS p_c, comp AS p_comp FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n - c, node) AS r FROM {view}) WHERE r <= {pivots}")
         first = scratch.table(first, f"pivots_{step}")
         fits = F.lit(100 + percent) * F.least("c", "p_c") >= F.lit(percent) * (F.col("n") + F.col("p_n"))
-        met = placed.join(first, "key").where((F.col("node") > F.col("p")) & (F.col("comp") != F.col("p_comp")) & fits).select(F.col("node").alias("u"), "p").distinct()
+        after = F.struct(F.col("n") - F.col("c"), "node") > F.struct(F.col("p_n") - F.col("p_c"), "p")
+        met = placed.join(first, "key").where(after & (F.col("comp") != F.col("p_comp")) & fits).select(F.col("node").alias("u"), "p").distinct()
         apart = F.expr("aggregate(zip_with(u_marks, p_marks, (x, y) -> bit_count(x ^ y)), 0, (n, d) -> n + d)")
         known = met.join(sigs.toDF("u", "u_marks", "u_most"), "u").join(sigs.toDF("p", "p_marks", "p_most"), "p").withColumn("apart", apart)
         pairs = known.where(F.col("apart") <= F.least("u_most", "p_most")).select("u", "p", "apart")
