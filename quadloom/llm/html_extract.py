@@ -14,7 +14,8 @@ workers, since its suffixes are dealt by what they start with.
 Text: character references are decoded, white space (any that Unicode knows) becomes one space inside a block, ends are trimmed, blocks
 are joined by one line break in page order.
 
-Cases: null or empty html gives an empty text; pages without markup are one open block; unclosed and stray tags are tolerated;
+Cases: null or empty html gives an empty text; pages without markup are one open block; unclosed and stray tags are tolerated: a head needs no
+end; noscript, svg, select and the like, title, textarea and iframe without an end stop at the next structural tag, script and style at the next section;
 repeated rows are counted as one page and extracted each; a null url is the empty host; further columns are ignored.
 """
 
@@ -32,10 +33,16 @@ from quadloom.llm.common import Scratch, ship, utf8
 DEPTH, MIN_PAGES = 8, 3
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|math|object|select|canvas|audio|video|datalist|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
+_SKIPPED = frozenset("noscript template svg math object select canvas audio video datalist".split())
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in "script style textarea title iframe".split()}
+_SECTIONS = "html head body article main section header footer nav aside".split()
+_STRUCTURAL = frozenset([*_SECTIONS, *"div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th form fieldset blockquote pre figure details address center hr".split()])
+_SECTION_TAG = re.compile(rf"</?(?:{'|'.join(_SECTIONS)})(?=[\s/>])", re.I)  # code may hold others in its strings
+_ANY_TAG = re.compile(rf"</?(?:{'|'.join(sorted(_STRUCTURAL))}|script|style|meta|link|base|title|noscript|template)(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|\Z))""", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +56,45 @@ _NAMED = re.compile(
 _MAIN = re.compile(r"(?:^|\s)(?:article|articlebody|article-body|article-content|main|main-content|content|post|post-content|post-body|entry|entry-content|story|story-body)(?=$|\s)", re.I)
 
 
+def tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, element, is it an end tag, attributes) of a page's tags, without those in raw text and in skipped elements, which are one token each
+    without an element; a skipped element that isn't closed comes as its start tag."""
+    found: list[tuple[int, int, str, bool, str]] = []
+    unclosed: set[str] = set()
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at, name = m.end(), (m[2] or m[5] or "").lower()
+        closing = bool(m[1] or m[4])
+        if name in _RAW:
+            if not closing:
+                end = None if name in unclosed else _RAW[name].search(page, at)
+                if not end:
+                    unclosed.add(name)
+                    end = (_SECTION_TAG if name in ("script", "style") else _ANY_TAG).search(page, at)
+                    at = end.start() if end else len(page)
+                else:
+                    at = end.end()
+            name = ""
+        found.append((m.start(), at, name, closing, m[3] or m[6] or ""))
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for k, (_, _, name, closing, attributes) in enumerate(found):
+        if name in _SKIPPED:
+            if not closing:
+                if not (name in ("svg", "math") and attributes.rstrip().endswith("/")):
+                    opened.setdefault(name, []).append(k)
+            elif opened.get(name):
+                ends[opened[name].pop()] = k
+    if not ends:
+        return found
+    out, k = [], 0
+    while k < len(found):
+        last = ends.get(k)
+        out.append(found[k] if last is None else (found[k][0], found[last][1], "", False, ""))
+        k = k + 1 if last is None else last + 1
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(zone, text) of a page's blocks; zone is out, article, main or open."""
     found: list[tuple[str, str]] = []
@@ -64,15 +110,24 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 kinds = {k for _, k in stack}
                 found.append((next((k for k in ("out", "article", "main") if k in kinds), "open"), " ".join(words)))
 
-    for m in _TOKEN.finditer(page):
-        text.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+    skipping = False  # in an element that isn't closed: up to the next structural tag
+    for start, end, name, closing, attributes in tokens(page):
+        if not skipping:
+            text.append(page[at:start])
+        at = end
         if not name:
-            if m[1] and m[1].lower() == "head" or (m[0].startswith("<!") and not m[0].startswith("<!--")):
+            if page.startswith("<!", start) and not page.startswith("<!--", start):
                 flush()
             continue
-        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
+        if name in _SKIPPED:
+            skipping |= not closing and not (name in ("svg", "math") and attributes.rstrip().endswith("/"))
+            continue
+        if skipping and name not in _STRUCTURAL:
+            continue
+        skipping = False
+        if name == "head":  # what may stand in it has no text; all else belongs to the body, whether it's closed or not
+            flush()
+            continue
         if name in _INLINE:
             if name in ("br", "wbr", "img"):
                 text.append(" " if name == "br" else "")
@@ -118,7 +173,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
             flush()
         if kind or name not in _INLINE:
             stack.append((name, kind))
-    text.append(page[at:])
+    if not skipping:
+        text.append(page[at:])
     flush()
     return found
 

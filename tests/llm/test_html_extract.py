@@ -34,6 +34,30 @@ def test_structure(html):
     assert H.zoned(html)[0] == CASES[html]
 
 
+UNCLOSED = {
+    "<html><head><title>t</title><body><article><p>text</p></article>": "text",
+    "<head><title>t</title><meta charset=x><article><p>text</p></article>": "text",
+    "<head><title>t<meta name=x><script>'<p>no</p>'</script><body><article><p>text</p></article>": "text",
+    "<head><script>var x = '<p>no</p>';</head><body><p>text</p>": "text",
+    "<body><noscript>no<select><option>no<div><p>text</p></div>": "text",
+    "<noscript><p>no</p></noscript><p>yes</p><noscript>no<p>text</p>": "yes\ntext",
+    "<p>a</p><object><object>no</object>no</object><p>b</p>": "a\nb",
+    "<p>a <svg viewBox='0'/>b</p><svg><title>no</title><path/></svg><p>c</p>": "a b\nc",
+    "<p>a</p><template><article>no</article></template><p>b</p>": "a\nb",
+    **{f"<p>a</p><{e}>no<section><p>b</p></section>": "a\nb" for e in "noscript select svg math object canvas audio video template datalist textarea iframe title script style".split()},
+}
+
+
+@pytest.mark.parametrize("html", UNCLOSED)
+def test_unclosed(html):
+    assert H.zoned(html)[0] == UNCLOSED[html]
+
+
+@pytest.mark.parametrize("tag", ["<title>", "<svg>", "<script>", "<p><select>"])
+def test_many_unclosed_take_linear_time(tag):
+    assert H.zoned(tag * 50_000 + "<section>text")[0] == "text"
+
+
 def test_host_boilerplate(spark):
     bar = words(0, 12)
     own = [words(k, 30) for k in range(1, 6)]
