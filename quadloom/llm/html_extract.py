@@ -11,12 +11,20 @@ their first `depth` tokens, a run is one key, and pages are counted per key, pre
 pages covers its tokens on each of them; covered tokens go and the unique runs of each block stay. A host of any size is spread over all
 workers, since its suffixes are dealt by what they start with.
 
+Copies are no distinct pages: for a run, a page is told by its longest block but for the one that the run's middle stands in (by its whole
+text, if no other has `MARGIN` tokens), and never by its URL. So an article under many URLs, or with small differences in shorter blocks, doesn't
+cover itself. A covered part with `MARGIN` or more uncovered tokens before and after it in its block is a passage quoted in prose, and
+stays; so does one of `PROSE` tokens or more inside a block that is more than half of its page, a copy with other short blocks.
+Not told from boilerplate: passages that fill or border a block on `min_pages` different pages. Not told from own text: what stands on
+fewer pages, recurring blocks of fewer than `depth` tokens between blocks that don't recur, and two recurring blocks on pages without a
+longer one of their own.
+
 Text: character references are decoded, white space (any that Unicode knows) becomes one space inside a block, ends are trimmed, blocks
 are joined by one line break in page order.
 
 Cases: null or empty html gives an empty text; pages without markup are one open block; unclosed and stray tags are tolerated: a head needs no
 end; noscript, svg, select and the like, title, textarea and iframe without an end stop at the next structural tag, script and style at the next section;
-repeated rows are counted as one page and extracted each; a null url is the empty host; further columns are ignored.
+copies are counted as one page and extracted each; a null url is the empty host; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from pyspark.sql import types as T
 
 from quadloom.llm.common import Scratch, ship, utf8
 
-DEPTH, MIN_PAGES = 8, 3
+DEPTH, MIN_PAGES, MARGIN, PROSE = 8, 3, 8, 50
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -196,20 +204,55 @@ def suffix_keys(host: str, text: str, depth: int) -> list[int]:
     return [xxh3_64_intdigest("\n".join((host, *words[i : i + depth]))) - (1 << 63) for i in range(len(words) - depth + 1)]
 
 
-def unique_runs(text: str, host: str, depth: int, repeated: set[int]) -> str:
-    """The text without the tokens that repeated substrings cover."""
-    keys = suffix_keys(host, text, depth)
-    until, at, out = -1, 0, []
-    for line in text.split("\n"):
-        kept = []
-        for w in line.split():
-            if at < len(keys) and keys[at] in repeated:
-                until = at + depth
-            if at >= until:
-                kept.append(w)
-            at += 1
-        if kept:
+def rest_keys(text: str, depth: int, margin: int = MARGIN) -> list[int]:
+    """For each place with `depth` tokens from it on: what tells the page, a hash of its longest block but for the one that their middle stands
+    in, or of the text, if that block is short."""
+    from xxhash import xxh3_64_intdigest
+
+    lines = text.split("\n")
+    sizes = [line.count(" ") + 1 for line in lines]
+    block = [k for k, n in enumerate(sizes) for _ in range(n)]
+    first, *second = sorted(range(len(lines)), key=lambda k: (-sizes[k], lines[k]))[:2]
+    longest, other = (xxh3_64_intdigest(lines[k] if sizes[k] >= margin else text) - (1 << 63) for k in (first, *(second or [first])))  # an only block is the text
+    return [other if first in (block[i + (depth - 1) // 2], block[i + depth // 2]) else longest for i in range(len(block) - depth + 1)]
+
+
+def unique_runs(text: str, host: str, depth: int, repeated: set[int], margin: int = MARGIN, prose: int = PROSE) -> str:
+    """The text without the tokens that repeated substrings cover, but for passages quoted inside a block, and blocks that are most of the page."""
+    hits = [i for i, k in enumerate(suffix_keys(host, text, depth)) if k in repeated]
+    if not hits:
+        return text
+    lines = [line.split() for line in text.split("\n")]
+    total = sum(map(len, lines))
+
+    def cover(hits):
+        covered = bytearray(total)
+        for i in hits:
+            covered[i : i + depth] = b"\1" * depth
+        return covered
+
+    covered, at = cover(hits), 0
+    stay = bytearray(total)
+    for line in lines:
+        end, own, i = at + len(line), len(line) - sum(covered[at : at + len(line)]), at
+        before = 0
+        while i < end:
+            j = i
+            while j < end and covered[j] == covered[i]:
+                j += 1
+            if not covered[i]:
+                before += j - i
+            elif j - i >= max(prose, total // 2 + 1) or min(before, own - before) >= margin:
+                stay[i:j] = b"\1" * (j - i)
+            i = j
+        at = end
+    if any(stay):
+        covered = cover(i for i in hits if not any(stay[i : i + depth]))
+    out, at = [], 0
+    for line in lines:
+        if kept := [w for w, c in zip(line, covered[at : at + len(line)], strict=True) if not c]:
             out.append(" ".join(kept))
+        at += len(line)
     return "\n".join(out)
 
 
@@ -245,9 +288,9 @@ def extracted(pages: DataFrame, depth: int = DEPTH, min_pages: int = MIN_PAGES,
                 part = b.slice(i, 64)
                 for row, url, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), utf8(part.column(2)), strict=True):
                     url, text = str(url, "utf-8"), str(text, "utf-8")
-                    own = sorted(set(suffix_keys(_host(url), text, depth)))
+                    own = dict(zip(suffix_keys(_host(url), text, depth), rest_keys(text, depth), strict=True))
                     rows += [row] * len(own)
-                    page += suffix_keys(url, text, max(1, len(text.split())))[:1] * len(own)
+                    page += own.values()
                     keys += own
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array(page, pa.int64())], names=["row", "key", "page"])
 

@@ -68,6 +68,29 @@ def test_host_boilerplate(spark):
     assert got[10] == got[11] == bar
 
 
+def texts_of(spark, bodies):
+    """Texts of pages of one host."""
+    got = {r["page_id"]: r["text"] for r in H.extracted(pages(spark, [(k, f"http://h.com/{k}?utm_source=x", b) for k, b in enumerate(bodies)])).collect()}
+    return [got[k] for k in range(len(bodies))]
+
+
+def test_copies_do_not_cover_themselves(spark):
+    one, two, bar = words(1, 40), words(2, 30), words(0, 12)
+    assert texts_of(spark, [f"<p>{one}</p><p>{two}</p>"] * 3) == [f"{one}\n{two}"] * 3
+    assert texts_of(spark, [f"<p>{one}</p>"] * 4) == [one] * 4
+    near = [f"<p>{one}</p><p>{two}</p><div>seen {k} times</div>" for k in range(4)]
+    assert texts_of(spark, near) == [f"{one}\n{two}\nseen {k} times" for k in range(4)]
+    assert texts_of(spark, [f"<p>{words(5, 60)}</p><div>seen {k} times</div>" for k in range(4)]) == [f"{words(5, 60)}\nseen {k} times" for k in range(4)]
+    others = [f"<div>{bar}</div><p>{words(k, 35)}</p>" for k in (3, 4)]
+    assert texts_of(spark, [f"<div>{bar}</div><p>{one}</p>"] * 3 + others) == [one] * 3 + [words(k, 35) for k in (3, 4)]
+
+
+def test_quoted_passages_stay(spark):
+    quote = words(0, 12)
+    bodies = [f"<p>{words(10 + k, 20)} {quote} {words(20 + k, 20)}</p>" for k in range(4)]
+    assert texts_of(spark, bodies) == [b[3:-4] for b in bodies]
+
+
 def brute(rows, depth, least):
     """Every substring of `depth` tokens and the pages of its host that hold it."""
     texts = [(u, H._host(u or ""), H.zoned(h or "")) for _, u, h in rows]
