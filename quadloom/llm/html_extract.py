@@ -1,8 +1,8 @@
 """Main text of HTML pages: structure first, a host's suffix array for what structure doesn't tell.
 
 Method. A tolerant tokenizer cuts a page into blocks and tells each block's zone from the elements around it: *out* (nav, header, footer, aside,
-forms, scripts, elements whose class, id or role says advert, notice, comments and the like), *main* (article, else main or an element
-named so), or *open*. A page with main blocks has its text in them.
+forms, scripts, elements whose class, id or role says advert, notice, comments and the like), *main* (article, main or an element
+named so), or *open*. A page with main blocks has its text in them, in page order.
 
 Pages without any are judged by their host: the open blocks of all its pages are token streams, and what stands in a long substring
 that recurs on distinct pages is boilerplate. A host's suffix array finds such substrings as runs of neighbours whose common
@@ -55,6 +55,7 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LOOSE = frozenset("p li dt dd tr td th option".split())
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _OUT = frozenset("nav header footer aside form menu dialog button fieldset script style noscript".split())
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|nav|navbar|navigation|menus?|topbar|header|masthead|footer|sidebar|widgets?|share|sharing|social|related|recommended"
@@ -175,7 +176,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 elif not kind and key != "style" and name not in _INLINE and _MAIN.search(value):
                     kind = "main"
         if name not in _INLINE:
-            while stack and (stack[-1][0] in _INLINE or name in _LOOSE and stack[-1][0] in _LOOSE or stack[-1][0] == "p"):
+            while stack and (stack[-1][0] in _INLINE or stack[-1][0] in _CLOSES.get(name, ()) or stack[-1][0] == "p"):
                 stack.pop()  # elements left open end with the next block
         elif kind:
             flush()
@@ -190,9 +191,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
 def zoned(page: str) -> tuple[str, bool]:
     """The text of a page and whether it's still to be judged by its host."""
     found = blocks(page)
-    for zone in ("article", "main"):
-        if main := [t for z, t in found if z == zone]:
-            return "\n".join(main), False
+    if main := [t for z, t in found if z in ("article", "main")]:
+        return "\n".join(main), False
     return "\n".join(t for z, t in found if z == "open"), True
 
 

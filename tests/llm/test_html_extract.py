@@ -34,6 +34,21 @@ def test_structure(html):
     assert H.zoned(html)[0] == CASES[html]
 
 
+ZONES = {
+    "<main><h1>T</h1><article><p>x</p></article><p>y</p></main>": "T\nx\ny",
+    "<div class=content><p>long text</p></div><article>teaser</article><p>out</p>": "long text\nteaser",
+    "<table><tr><td class=content>Intro<p>Body</p></td><td>no</table>": "Intro\nBody",
+    "<article><p>a</p><ul><li class=comment><p>rude</p><p>more</p></li><li><p>b</p></ul></article>": "a\nb",
+    "<dl><dt>x<dd class=content><p>one</p><p>two</p><dt>y</dl>": "one\ntwo",
+    "<article><table><tr><td class=ad>no<tr><td>a<td><p>b</table></article>": "a\nb",
+}
+
+
+@pytest.mark.parametrize("html", ZONES)
+def test_zones(html):
+    assert H.zoned(html)[0] == ZONES[html]
+
+
 UNCLOSED = {
     "<html><head><title>t</title><body><article><p>text</p></article>": "text",
     "<head><title>t</title><meta charset=x><article><p>text</p></article>": "text",
