@@ -3,13 +3,14 @@
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. Two things are reported:
 
 * base phrases: every place where a phrase's words stand consecutively;
-* templates: a block (a line, or two neighbouring lines, so that a notice may be broken once) meets a template if it holds at least `threshold` of the
-  template's distinct words.
+* templates: a block meets a template if it holds at least `threshold` of the template's distinct words. Blocks are lines, two neighbouring lines,
+  and all runs of `STRETCH` times as many words as the template's sentence has, over any number of line ends and lines without words.
 
 Method. Template words are ordered by how many lines of all documents hold them, rare first. A block that shares t of a
 template's m words holds one of its m - t + 1 rarest: those are posted in an inverted index, word -> (template, place), and a block
 meets only the templates posted under its words (prefix filter). A block with fewer than t template words meets none (length
-filter). Where a block's j-th word is a template's i-th and the first they share, they share at most 1 + min(m - i - 1,
+filter). The same filters, with the words of the whole document for a block, tell for which templates its runs are looked at: those
+that start at a template's word, as far as they stand on three lines or more (others are inside blocks of two). Where a block's j-th word is a template's i-th and the first they share, they share at most 1 + min(m - i - 1,
 |block| - j - 1) words (positional filter). Survivors are counted in full, so the filters lose nothing and the result doesn't
 depend on the order.
 
@@ -45,6 +46,7 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 )
 THRESHOLD = 0.85
+STRETCH = 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -85,7 +87,7 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "te
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, and matches: (label, containment, the block) of every template met."""
+    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, and matches: (label, containment, the block's first line) of every template met; of a template's runs the best."""
     sets = _templates(templates)
     vocabulary = sorted({w for _, ws in sets for w in ws})
     often = word_frequencies(docs, vocabulary, text_col)
@@ -96,7 +98,7 @@ def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: fl
     for k, (label, ws) in enumerate(sets):
         ws, m = sorted(ws, key=rank.get), len(ws)
         t = max(1, ceil(threshold * m - 1e-9))
-        rows.append(F.struct(F.lit(label).alias("label"), _literal(ws).alias("words"), F.lit(m).alias("m"), F.lit(t).alias("t")))
+        rows.append(F.struct(F.lit(label).alias("label"), _literal(ws).alias("words"), F.lit(m).alias("m"), F.lit(t).alias("t"), F.lit(STRETCH * len(templates[k][1].split())).alias("run")))
         for i, w in enumerate(ws[: m - t + 1]):
             posted.setdefault(w, []).append(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(m).alias("m"), F.lit(t).alias("t")))
     index = F.create_map(*(x for w, hits in sorted(posted.items()) for x in (F.lit(w), F.array(*hits))))
@@ -116,12 +118,32 @@ def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: fl
         hits = F.array_sort(F.flatten(F.transform(b["x"], lambda w, j: F.transform(F.coalesce(F.element_at(index, w), F.array().cast("array<struct<k:int,i:int,m:int,t:int>>")), lambda p: F.struct(p["k"], p["i"], j.alias("j"), p["m"], p["t"])))))
         return F.transform(F.array_distinct(F.transform(hits, lambda h: h["k"])), lambda k: F.element_at(F.filter(hits, lambda h: h["k"] == k), 1))
 
-    def matches(b):
+    def met(b):
+        """Templates of which a block holds enough words: k, n, m, t."""
         possible = F.filter(candidates(b), lambda h: (F.size(b["x"]) >= h["t"]) & (F.lit(1) + F.least(h["m"] - h["i"] - 1, F.size(b["x"]) - h["j"] - 1) >= h["t"]))
         counted = F.transform(possible, lambda h: F.struct(h["k"].alias("k"), F.size(F.array_intersect(b["x"], F.element_at(table, h["k"] + 1)["words"])).alias("n"), h["m"].alias("m"), h["t"].alias("t")))
-        return F.transform(F.filter(counted, lambda c: c["n"] >= c["t"]), lambda c: F.struct(F.element_at(table, c["k"] + 1)["label"].alias("label"), (c["n"] / c["m"]).alias("containment"), b["at"].alias("line")))
-
-    matched = known.withColumn("_blocks", blocks).withColumn("matches", F.flatten(F.transform("_blocks", matches)))
+        return F.filter(counted, lambda c: c["n"] >= c["t"])
+
+    def match(c, n, line):
+        return F.struct(F.element_at(table, c["k"] + 1)["label"].alias("label"), (n / c["m"]).alias("containment"), line.alias("line"))
+
+    def runs(c):
+        """The best run over three lines or more of a template that the document holds: an array of one match or none."""
+        template = F.element_at(table, c["k"] + 1)
+        held = F.filter("_placed", lambda p: F.array_contains(template["words"], p["w"]))
+        near = F.transform(held, lambda h, j: F.filter(F.slice(held, j + 1, template["run"]), lambda p: p["at"] < h["at"] + template["run"]))  # of as many words, as many are held at most
+        counted = F.transform(near, lambda ps: F.struct(F.size(F.array_distinct(ps["w"])).alias("n"), (-F.get(ps, 0)["line"]).alias("line"), F.element_at(ps, -1)["line"].alias("last")))
+        best = F.array_max(F.filter(counted, lambda r: (r["n"] >= c["t"]) & (r["last"] + r["line"] >= 2)))
+        return F.when(best.isNotNull(), F.array(match(c, best["n"], -best["line"]))).otherwise(F.array().cast("array<struct<label:string,containment:double,line:int>>"))
+
+    whole = F.struct(F.array_intersect(_literal(order), F.flatten("_known")).alias("x"))
+    long = (F.size(F.filter("_known", lambda ws: F.size(ws) > 0)) > 1) & F.arrays_overlap(F.flatten("_known"), _literal(sorted(posted)))
+    placed = F.flatten(F.transform("_words", lambda ws, i: F.transform(ws, lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    placed = F.filter(F.transform(placed, lambda p, i: F.struct(p["w"].alias("w"), p["line"].alias("line"), i.alias("at"))), lambda p: F.array_contains(_literal(order), p["w"]))
+    matched = known.withColumn("_blocks", blocks).withColumn("_met", F.when(long, met(whole)).otherwise(F.array().cast("array<struct<k:int,n:int,m:int,t:int>>")))
+    matched = matched.withColumn("_placed", F.when(F.size("_met") > 0, placed))
+    inside = F.flatten(F.transform("_blocks", lambda b: F.transform(met(b), lambda c: match(c, c["n"], b["at"]))))
+    matched = matched.withColumn("matches", F.concat(inside, F.flatten(F.transform("_met", runs))))
     counts = matched.select(id_col, "matches", F.aggregate("_words", F.lit(0).cast("long"), lambda n, ws: n + F.size(ws)).alias("n_words"), F.flatten("_words").alias("_all"))
     for k, (p, _) in enumerate(phrases):
         first = p.split()

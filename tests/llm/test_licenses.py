@@ -77,3 +77,38 @@ def test_empty(spark):
 @pytest.mark.parametrize("word", ["\u212a", "\u0130", "\u03a3"])
 def test_only_ascii_case_matters(spark, word):
     assert licenses.scanned(documents(spark, [(1, word + " all rights reserved")])).first()["n_words"] == 4
+
+
+BSD = "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met:"
+WRAPPED = {
+    1: (BSD, "bsd"),
+    2: (f"{words(1, 300)} {BSD} {words(2, 300)}", "bsd"),
+    3: ("\n".join(BSD.split()), "bsd"),
+    4: ("# " + BSD.replace("\n", "\n#\n# "), "bsd"),
+    5: ("Released under\n\nthe MIT License", "mit"),
+    6: ("Released\n//\nunder\nthe\n\nMIT\nLicense", "mit"),
+    7: (BSD.replace("with or\nwithout modification", f"\n{words(3, 60)}\n"), ""),
+    8: (f"Released under\n{words(4, 20)}\nthe MIT License", ""),
+}
+
+
+def test_notices_over_many_lines(spark):
+    got = {r["doc_id"]: r for r in licenses.scanned(documents(spark, [(k, t) for k, (t, _) in WRAPPED.items()])).collect()}
+    assert {k: r["labels"] for k, r in got.items()} == {k: label for k, (_, label) in WRAPPED.items()}
+    assert all((r["score"] == 1.0) == (r["labels"] != "") for r in got.values())
+    assert [m["line"] for m in got[2]["matches"]] == [0]
+
+
+def test_runs_against_every_window(spark):
+    import random
+
+    r = random.Random(5)
+    templates = (("a", "one two three four"), ("b", "four five six two six"), ("c", "seven one"))
+    texts = [(k, "".join(r.choice("one two three four five six seven x y z".split()) + r.choice([" ", "\n", "\n", "\n\n"]) for _ in range(r.randint(0, 30)))) for k in range(150)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.scanned(documents(spark, texts), templates, licenses.PHRASES, 0.75).collect()}
+    for k, text in texts:
+        ws, lines = text.split(), [x.split() for x in text.split("\n")]
+        for label, s in templates:
+            t, n = set(s.split()), licenses.STRETCH * len(s.split())
+            blocks = [ws[i : i + n] for i in range(len(ws))] + [a + b for a, b in zip(lines, [*lines[1:], []], strict=True)]
+            assert (label in got[k]) == any(len(t & set(b)) >= ceil(0.75 * len(t)) for b in blocks), (label, text)
