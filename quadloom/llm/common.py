@@ -79,6 +79,14 @@ class Scratch:
             return
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case."""
+    taken, out = {c.lower() for c in docs.columns}, f"_{name}"
+    while out.lower() in taken:
+        out = f"_{out}"
+    return out
+
+
 def utf8(column) -> list[bytes]:
     """An Arrow string column as bytes; null becomes empty."""
     import pyarrow as pa
