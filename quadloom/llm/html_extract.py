@@ -45,14 +45,14 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
-_SKIPPED = frozenset("noscript template svg math object select canvas audio video datalist".split())
+_SKIPPED = frozenset("noscript template svg object select canvas audio video datalist".split())
 _RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in "script style textarea title iframe".split()}
 _SECTIONS = "html head body article main section header footer nav aside".split()
 _STRUCTURAL = frozenset([*_SECTIONS, *"div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th form fieldset blockquote pre figure details address center hr".split()])
 _SECTION_TAG = re.compile(rf"</?(?:{'|'.join(_SECTIONS)})(?=[\s/>])", re.I)  # code may hold others in its strings
 _ANY_TAG = re.compile(rf"</?(?:{'|'.join(sorted(_STRUCTURAL))}|script|style|meta|link|base|title|noscript|template)(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|\Z))""", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr math mi mn mo mrow ms mspace mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle semantics acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LOOSE = frozenset("p li dt dd tr td th option".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -62,9 +62,26 @@ _NAMED = re.compile(
     r"|comments?|commentlist|reply|replies|respond|disqus|breadcrumbs?|pagination|pager|popup|modal|overlay|newsletter|subscribe|signup|login|toolbar|copyright|search|tablist|contentinfo|complementary)(?=$|[\s_-])",
     re.I,
 )
+#: Names that tell of a part around the text where they stand alone, but are given to articles and to parts of them too.
+_WEAK = re.compile(r"(?:^|[\s_-])(?:header|masthead|search|share|sharing|social|related|recommended|alert|notices?|widgets?|banner|promo\w*|login|signup)(?=$|[\s_-])", re.I)
+#: Heads of articles, as class names have them.
+_HEAD = re.compile(r"(?:^|\s)(?:entry|post|article|page|content|story|section)[_-]+header(?=$|\s)", re.I)
+_ADVERT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|comments?|share|sharing|social)(?=$|[\s_-])", re.I)
 _MAIN = re.compile(r"(?:^|\s)(?:article|articlebody|article-body|article-content|main|main-content|content|post|post-content|post-body|entry|entry-content|story|story-body)(?=$|\s)", re.I)
 
 
+def _named(value: str, element: str, inside: set[str]) -> bool:
+    """Does a class, id or role say that an element is none of the text?"""
+    if element in _INLINE:  # parts of sentences: only what was put in between
+        return bool(_ADVERT.search(value))
+    value = _HEAD.sub(" ", value)
+    if element in ("article", "main") or _MAIN.search(value):
+        value = _WEAK.sub(" ", value)
+    elif inside & {"article", "main"}:
+        value = re.sub(r"(?:^|[\s_-])header(?=$|[\s_-])", " ", value, flags=re.I)
+    return bool(_NAMED.search(value))
+
+
 def tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
     """(start, end, element, is it an end tag, attributes) of a page's tags, without those in raw text and in skipped elements, which are one token each
     without an element; a skipped element that isn't closed comes as its start tag."""
@@ -90,7 +107,7 @@ def tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
     for k, (_, _, name, closing, attributes) in enumerate(found):
         if name in _SKIPPED:
             if not closing:
-                if not (name in ("svg", "math") and attributes.rstrip().endswith("/")):
+                if not (name == "svg" and attributes.rstrip().endswith("/")):
                     opened.setdefault(name, []).append(k)
             elif opened.get(name):
                 ends[opened[name].pop()] = k
@@ -109,9 +126,13 @@ def blocks(page: str) -> list[tuple[str, str]]:
     found: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # element, and out, article, main or nothing
     text: list[str] = []
+    cuts: list[int] = []  # where in `text` inline elements begin that are out
     at = 0
 
     def flush():
+        if cuts:
+            del text[min(cuts) :]
+            cuts[:] = [0] * len(cuts)
         if text:
             words = html.unescape("".join(text)).split()
             text.clear()
@@ -129,7 +150,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 flush()
             continue
         if name in _SKIPPED:
-            skipping |= not closing and not (name in ("svg", "math") and attributes.rstrip().endswith("/"))
+            skipping |= not closing and not (name == "svg" and attributes.rstrip().endswith("/"))
             continue
         if skipping and name not in _STRUCTURAL:
             continue
@@ -148,7 +169,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 if stack[k][0] == name:
                     if name in _INLINE and any(e not in _INLINE for e, _ in stack[k + 1 :]):
                         break  # a stray end inside another element
-                    flush() if stack[k][1] else None
+                    for e, zone in reversed(stack[k:]):
+                        if zone == "inline out":
+                            del text[min(cuts.pop(), len(text)) :]
+                        elif zone and e not in _INLINE:
+                            flush()
                     del stack[k:]
                     break
                 if name in _LOOSE and stack[k][0] not in _LOOSE and stack[k][0] not in _INLINE:
@@ -162,24 +187,25 @@ def blocks(page: str) -> list[tuple[str, str]]:
             kind = "out"
             if name == "header" and "article" in inside:
                 kind = ""
-        elif name == "article":
-            kind = "article"
-        elif name == "main":
-            kind = "main"
+        elif name in ("article", "main"):
+            kind = name
+            stack[:] = [(e, "") if e == "form" and k == "out" else (e, k) for e, k in stack]  # a form around the whole page
         if attributes:
             for a in _ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), (a[2] or "").strip("\"'")
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     kind = "out"
-                elif key in ("class", "id", "role") and name not in ("body", "html") and _NAMED.search(value):
+                elif key in ("class", "id", "role") and name not in ("body", "html") and _named(value, name, inside):
                     kind = "out"
                 elif not kind and key != "style" and name not in _INLINE and _MAIN.search(value):
                     kind = "main"
         if name not in _INLINE:
             while stack and (stack[-1][0] in _INLINE or stack[-1][0] in _CLOSES.get(name, ()) or stack[-1][0] == "p"):
-                stack.pop()  # elements left open end with the next block
-        elif kind:
-            flush()
+                if stack.pop()[1] == "inline out":  # elements left open end with the next block
+                    cuts.pop()
+        elif kind == "out":
+            kind = "inline out"
+            cuts.append(len(text))
         if kind or name not in _INLINE:
             stack.append((name, kind))
     if not skipping:
@@ -191,6 +217,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
 def zoned(page: str) -> tuple[str, bool]:
     """The text of a page and whether it's still to be judged by its host."""
     found = blocks(page)
+    if all(z == "out" for z, _ in found) and re.search(r"<form\b", page, re.I):  # the whole page may be one form
+        found = blocks(re.sub(r"</?form\b[^>]*>", " ", page, flags=re.I))
     if main := [t for z, t in found if z in ("article", "main")]:
         return "\n".join(main), False
     return "\n".join(t for z, t in found if z == "open"), True

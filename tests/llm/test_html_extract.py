@@ -49,6 +49,30 @@ def test_zones(html):
     assert H.zoned(html)[0] == ZONES[html]
 
 
+#: Parts that names or elements seem to put outside, but which are the text.
+INSIDE = {
+    "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>": "so x=2 holds",
+    "<article class='post related'><p>a</p></article>": "a",
+    "<div class='post search'><p>a</p></div>": "a",
+    "<body><form action=x><div class=content><p>a</p></div><p>b</p></form>": "a",
+    "<form><p>a</p><article><p>b</p></article></form>": "b",
+    "<form><p>only</p></form>": "only",
+    "<article><p>See <span class=alert>this</span> now</p></article>": "See this now",
+    "<article><p>See <span class='ad'>buy</span> now</p><p>b</p></article>": "See now\nb",
+    "<article><p>a <span class=ad>buy <b>it</b></p><p>b</p></article>": "a\nb",
+    "<article><p>a <span hidden>no <i>no</i></span>b</p></article>": "a b",
+    "<article><div class='entry-header'><h1>T</h1></div><p>a</p></article>": "T\na",
+    "<div class='post-header'><h1>T</h1></div><div class=post><p>a</p></div>": "a",
+    "<article><div class='header'><h1>T</h1></div><p>a</p><div class='comments header'>no</div></article>": "T\na",
+    "<div class='site-header'>no</div><p>a</p>": "a",
+}
+
+
+@pytest.mark.parametrize("html", INSIDE)
+def test_inside(html):
+    assert H.zoned(html)[0] == INSIDE[html]
+
+
 UNCLOSED = {
     "<html><head><title>t</title><body><article><p>text</p></article>": "text",
     "<head><title>t</title><meta charset=x><article><p>text</p></article>": "text",
@@ -59,7 +83,7 @@ UNCLOSED = {
     "<p>a</p><object><object>no</object>no</object><p>b</p>": "a\nb",
     "<p>a <svg viewBox='0'/>b</p><svg><title>no</title><path/></svg><p>c</p>": "a b\nc",
     "<p>a</p><template><article>no</article></template><p>b</p>": "a\nb",
-    **{f"<p>a</p><{e}>no<section><p>b</p></section>": "a\nb" for e in "noscript select svg math object canvas audio video template datalist textarea iframe title script style".split()},
+    **{f"<p>a</p><{e}>no<section><p>b</p></section>": "a\nb" for e in "noscript select svg object canvas audio video template datalist textarea iframe title script style".split()},
 }
 
 
