@@ -74,3 +74,25 @@ def test_repeated_ids(spark):
 def test_chi_square():
     assert ann.chi_square(np.array([7.344]), 8)[0] == pytest.approx(0.5, abs=1e-3)
     assert ann.chi_square(np.array([15.507]), 8)[0] == pytest.approx(0.95, abs=1e-3)
+
+
+def test_few_cells_are_visited(spark):
+    """On clustered data queries leave after a few cells, and find what an exact search finds."""
+    r = np.random.default_rng(5)
+    v = r.standard_normal((60, 32))[r.integers(0, 60, 6000)] + 0.05 * r.standard_normal((6000, 32))
+    rows, visits = [(k, v[k].tolist()) for k in range(6000)], []
+    got = found(ann.neighbours(table(spark, rows), F.col("vec_id") % 20 == 0, 5, shard_rows=100, visits=visits))
+    unit = np.array([r[1] for r in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosines = unit[::20] @ unit.T
+    cosines[np.arange(300), np.arange(0, 6000, 20)] = -2
+    want = {20 * q: [(j, 0) for j in np.argsort(-c)[:5].tolist()] for q, c in enumerate(cosines)}
+    assert recall(got, want) >= 0.9
+    cells = visits[0][1]
+    assert cells >= 50 and sum(n for n, _ in visits) < 0.35 * 300 * cells
+
+
+def test_tiny_and_huge_numbers(spark):
+    df = spark.createDataFrame([(0, [1e-170, 2e-170]), (1, [1e160, 2e160]), (2, [3.0, -1.0]), (3, [1e-300, 2.1e-300]), (4, [1e308, -1e308])], "vec_id long, embedding array<double>")
+    got = found(ann.neighbours(df, F.col("vec_id") == 0, 5))
+    assert [j for j, _ in got[0]] == [1, 3, 2, 4] and got[0][0][1] == pytest.approx(1.0) and all(abs(s) <= 1.000001 for _, s in got[0])
