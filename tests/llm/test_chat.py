@@ -63,6 +63,36 @@ LAYOUTS = [
 ]
 
 
+FURTHER = [
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None, "tool_calls": [1]}], "id": "x", "source": {"b": 1}}, [("user", "a"), ("assistant", "")]),
+    ({"prompt": "a", "completion": "b", "meta": {}, "prompt_id": 3}, [("user", "a"), ("assistant", "b")]), ({"instruction": "i", "context": "", "response": "r", "category": "c"}, [("user", "i"), ("assistant", "r")]),
+    ({"question": {"deep": 1}, "answer": ["x"]}, [("user", '{"deep": 1}'), ("assistant", '["x"]')]), ({"messages": []}, None), ({"messages": ["text"]}, None), ({}, None),
+]
+
+
+@pytest.mark.parametrize("record,want", FURTHER)
+def test_further_fields(record, want):
+    assert chat.canonical(record) == want
+
+
+def test_kinds_are_hashed():
+    assert len({chat.fingerprint(x) for x in ({"a": 1}, {"a": "1"}, {"a": None}, {"a": [1]}, {"a": {}}, {"a": []}, {"a": True})}) == 7
+
+
+def test_unmapped_by_row(spark):
+    rows = [(None, '{"prompt": "a", "completion": "b"}'), (None, "no"), (1, "{}"), (1, '{"prompt": "a", "completion": "b"}')]
+    df = spark.createDataFrame(rows, "id long, json string")
+    assert sorted(map(tuple, chat.unmapped(df, "id", "json").collect()), key=repr) == [(1,), (None,)]
+    assert chat.turns_of_records(df, "id", "json").count() == 4
+
+
+def test_rows_of_two_layouts(spark):
+    rows = [(1, 0, "user", "a", None, None, None, None), (None, None, None, None, 2, 0, "human", "b"), (None, None, None, None, 2, 1, "gpt", None), (1, 1, "human", None, None, None, None, None), (None,) * 8]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conversation_id long, index long, `from` string, value string")
+    got = sorted(map(tuple, chat.turns_of_rows(df).collect()), key=repr)
+    assert got == sorted([(1, 0, "user", "a"), (2, 0, "user", "b"), (2, 1, "assistant", None), (1, 1, "human", None), (None, None, None, None)], key=repr)
+
+
 def test_layouts(spark):
     rows = [(k, json.dumps(x)) for k, (x, _) in enumerate(LAYOUTS)] + [(90, '{"other": 1}'), (91, "not json"), (92, None), (93, "[1]")]
     df = spark.createDataFrame(rows, "id long, json string")

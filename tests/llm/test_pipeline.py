@@ -73,7 +73,7 @@ def test_oracles(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in want.description]
