@@ -36,10 +36,12 @@ from quadloom.llm.common import ship, utf8, vocabulary
 #: Characters a feed takes at once, and a piece's length from which it goes through the window.
 SLICE, LONG = 1 << 16, 8192
 #: Entries of a piece cache generation; two generations are kept.
-CACHE = 150_000
+CACHE = 300_000
 
 _LATIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _BEYOND_LATIN = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
+#: A space that surely starts a pretoken.
+_BREAK = re.compile(r"(?<=\S) (?=\S)")
 _SPACE_RUN = re.compile(r"[ \t-\r\x85\xa0]{2}|[ \t-\r\x85\xa0]$")
 
 
@@ -272,30 +274,36 @@ class Window:
 class Encoder:
     """feed() text in slices of any size, then finish(); both return ids that are final, packed as unsigned 32-bit numbers."""
 
-    def __init__(self, merges: MergeTable, outside=None):
-        """outside: another implementation of the same merges, text -> ids, for short units not seen before."""
+    def __init__(self, merges: MergeTable, outside=None, outside_piece=None):
+        """outside, outside_piece: another implementation of the same merges, for short units and pretokens not seen before."""
         self.merges, self.held, self.window, self.run = merges, "", None, None
         self.piece = _Cache(lambda s: array("I", merges.tokens(s.encode())).tobytes())
         #: What stands between two single spaces, the first of them counted in: a space before a non-space always starts a pretoken.
         self.unit = _Cache(lambda s: b"".join(map(self.piece.__getitem__, pieces(" " + s))))
         if outside:
+            self.piece = _Cache(lambda s: array("I", outside_piece(s.encode()) if len(s) < 64 else merges.tokens(s.encode())).tobytes())
             self.unit = _Cache(lambda s: array("I", outside(" " + s)).tobytes())
         self.stop = re.compile("|".join(map(re.escape, merges.special))) if merges.special else None
         self.longest = max(map(len, merges.special), default=1)
 
     def _whole(self, text: str) -> bytes:
         """A text, or a part of one that starts and ends between pretokens."""
-        if len(text) > LONG or _SPACE_RUN.search(text):
+        if _SPACE_RUN.search(text):
             return b"".join(map(self.piece.__getitem__, pieces(text)))
         first, *rest = text.split(" ")
         return (b"".join(map(self.piece.__getitem__, pieces(first))) if first else b"") + b"".join(map(self.unit.__getitem__, rest))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of a whole text, slice by slice."""
-        if len(text) <= LONG and not (self.stop and self.stop.search(text)):
-            yield self._whole(text)
-            return
-        for i in range(0, len(text), SLICE):
+        at = 0
+        if not (self.stop and self.stop.search(text)):
+            while len(text) - at > LONG and (m := _BREAK.search(text, at + LONG - 512, at + 2 * LONG)):
+                yield self._whole(text[at : m.start()])
+                at = m.start()
+            if len(text) - at <= LONG:
+                yield self._whole(text[at:])
+                return
+        for i in range(at, len(text), SLICE):
             yield self.feed(text[i : i + SLICE])
         yield self.finish()
 
@@ -386,7 +394,8 @@ def library_coder(path: str) -> Encoder:
     if made != sorted(made):
         return Encoder(merges)
     ranks = {b: i for i, b in merges.bytes.items() if i not in set(merges.special.values())}
-    return Encoder(merges, tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+    library = tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Encoder(merges, library.encode_ordinary, library._encode_single_piece)
 
 
 def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
