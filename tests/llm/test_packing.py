@@ -49,6 +49,30 @@ def test_cuts():
         assert sum(packing.cuts(n, 64)) == n and all(c & (c - 1) == 0 for c in packing.cuts(n, 64))
 
 
+def test_bins():
+    """Any lengths: every id in one piece, full bins but for the last ones, few pieces a document."""
+    import random
+
+    r = random.Random(4)
+    for lengths in ([r.randint(1, 900) for _ in range(2000)], [1] * 3000, [300, 5, 1, 700, 64], [64] * 9, []):
+        bins, docs = packing.Bins(0, 256), [bytes(4 * n) for n in lengths]
+        got = [p for k, d in enumerate(docs) for p in bins.add(k, d)]
+        assert sum(len(v) <= 256 for v in bins.open.values()) <= 256
+        got += bins.close()
+        held, used = defaultdict(list), defaultdict(list)
+        for doc, start, data, n, sequence, at in got:
+            held[doc].append((start, len(data) // 4))
+            used[sequence].append((at, len(data) // 4))
+            assert n == lengths[doc] and data
+        for doc, n in enumerate(lengths):
+            assert sum(k for _, k in held[doc]) == n and all(a + k == b for (a, k), (b, _) in zip(sorted(held[doc]), sorted(held[doc])[1:], strict=False))
+        full = [sum(k for _, k in v) for v in used.values()]
+        assert all(n & (n - 1) == 0 and n <= 256 for n in full) and sum(n < 256 for n in full) <= 8
+        assert all(a + k == b for v in used.values() for (a, k), (b, _) in zip(sorted(v), sorted(v)[1:], strict=False))
+        if len(lengths) == 2000:
+            assert len(got) < 2000 * (900 / 2 / 256 + 1.7)
+
+
 def test_misuse_and_empty(spark):
     with pytest.raises(ValueError):
         packing.packed(documents(spark, []), capacity=1000)
