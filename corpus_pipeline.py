@@ -1,7 +1,7 @@
 """documents -> quality classifier -> exact dedup -> near-dedup -> packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of docs.
-doc_id names a row; of rows that repeat one, near-dedup keeps all or none.
+Rows are told apart by their place, so rows that repeat a doc_id, or have none, are judged each by its own text.
 """
 
 from quadloom.llm import exact_dedup, near_dedup, packing, quality
@@ -18,9 +18,8 @@ def exact(spark, docs, sf_dir):
 
 
 def near(spark, docs, sf_dir):
-    """Keeps one document of each component of near-duplicates."""
-    gone = near_dedup.grouped(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each component of near-duplicates, on shingles of five words."""
+    return near_dedup.deduplicated(docs, width=5)
 
 
 def packed(spark, docs, sf_dir):
