@@ -280,9 +280,9 @@ def union(spark, sf_dir):
     return g.V(iri("nation/1")).in_(iri("c_nationkey")).or_(g.V("MACHINERY").in_(iri("c_mktsegment"))).to_df().select(number("id").alias("key"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def except_(spark, sf_dir):
-    p = graph(spark, sf_dir, "customer", "orders").V().has(iri("c_mktsegment"), "BUILDING").except_(Path().out(iri("o_custkey")))
+    p = graph(spark, sf_dir, "customer", "orders").V().has(iri("c_mktsegment"), "BUILDING").except_(Path().has(iri("o_orderpriority"), "1-URGENT").out(iri("o_custkey")))
     return p.to_df().select(number("id").alias("c_custkey"))
 
 
@@ -330,9 +330,9 @@ def compare_int(spark, sf_dir):
     return graph(spark, sf_dir, "part").V().out(iri("p_size")).filters(FF.gte(20), FF.lt(35)).unique().to_df().select(T.int_value(F.col("id")).alias("p_size"))
 
 
-@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 1000.5")
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 910.25")
 def compare_float(spark, sf_dir):
-    df = graph(spark, sf_dir, "part").V().tag("p").out(iri("p_retailprice")).filter(">", 1000.5).to_df()
+    df = graph(spark, sf_dir, "part").V().tag("p").out(iri("p_retailprice")).filter(">", 910.25).to_df()
     return df.select(number("p").alias("p_partkey"), T.float_value(F.col("id")).alias("p_retailprice"))
 
 
@@ -356,9 +356,9 @@ def compare_iri(spark, sf_dir):
     return df.select(number("id").alias("c_custkey"))
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, 'e.*n[a-d]')")
+@query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, 'l[de]?.*[gi]n|^h.*t$')")
 def regex(spark, sf_dir):
-    return graph(spark, sf_dir, "part").V().tag("p").out(iri("p_name")).regex("e.*n[a-d]").to_df().select(number("p").alias("p_partkey"))
+    return graph(spark, sf_dir, "part").V().tag("p").out(iri("p_name")).regex("l[de]?.*[gi]n|^h.*t$").to_df().select(number("p").alias("p_partkey"))
 
 
 @query("SELECT c_custkey FROM customer WHERE regexp_matches('customer/' || c_custkey, 'r/1?2$')")
@@ -387,10 +387,11 @@ def count(spark, sf_dir):
 # The published workload's shapes
 
 
-@query("SELECT a.l_orderkey AS o_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey = 7) a JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey = 11) b USING (l_orderkey)")
+@query("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7 AND o_orderpriority = '1-URGENT'")
 def two_branches(spark, sf_dir):
-    g = GraphStore(edges_of_items(spark, sf_dir))
-    return g.V(iri("part/7")).in_(iri("has_part")).and_(g.V(iri("part/11")).in_(iri("has_part"))).to_df().select(number("id").alias("o_orderkey"))
+    """Orders that are reached from a nation over its customers, and from a priority."""
+    g = graph(spark, sf_dir, "orders", "customer")
+    return g.V(iri("nation/7")).in_(iri("c_nationkey")).in_(iri("o_custkey")).and_(g.V("1-URGENT").in_(iri("o_orderpriority"))).to_df().select(number("id").alias("o_orderkey"))
 
 
 @query(
