@@ -43,11 +43,10 @@ class Field:
     filters: bool = False  # a nested field without objects drops its parent
 
 
-def _edges(store, via: str, reverse: bool, labels: tuple[str, ...]) -> DataFrame:
-    """(at, to) over a predicate."""
-    q = store.quads.where(F.col("p") == via)
-    if labels:
-        q = q.where(F.col("l").isin(*labels))
+def _edges(store, via: str, reverse: bool, labels: tuple[str, ...], only: tuple[str, ...] = ()) -> DataFrame:
+    """(at, to) over a predicate, to some nodes only if any are named."""
+    wanted = {"p": (via,)} | ({"l": labels} if labels else {}) | ({"s" if reverse else "o": only} if only else {})
+    q = store.scan(**wanted)
     return q.select(F.col("o").alias("at"), F.col("s").alias("to")) if reverse else q.select(F.col("s").alias("at"), F.col("o").alias("to"))
 
 
@@ -60,9 +59,7 @@ def level(store, f: Field, base: DataFrame | None) -> DataFrame:
     elif f.ids is not None:
         base = base.where(F.col("id").isin(*f.ids))
     for h in f.has:
-        e = _edges(store, h.via, h.reverse, h.labels)
-        if h.values:
-            e = e.where(F.col("to").isin(*h.values))
+        e = _edges(store, h.via, h.reverse, h.labels, h.values)
         base = base.join(e.select(F.col("at").alias("id")).distinct(), "id", "left_semi")
     out = base.select(*keys)
     flat = [(k, x) for k, x in enumerate(f.fields or []) if x.fields is None and not x.everything and x.via is not None]
@@ -100,8 +97,7 @@ def _root(store, f: Field) -> DataFrame:
     """Nodes to start from: not all of them where a constraint or a required field says more."""
     known = f.has[0] if f.has else next((Constraint(x.via, x.only or (), x.reverse, x.labels) for x in f.fields or [] if x.via and not x.optional and (x.filters or x.fields is None and not x.everything)), None)
     if known:
-        e = _edges(store, known.via, known.reverse, known.labels)
-        ids = (e.where(F.col("to").isin(*known.values)) if known.values else e).select(F.col("at").alias("id")).distinct()
+        ids = _edges(store, known.via, known.reverse, known.labels, known.values).select(F.col("at").alias("id")).distinct()
     else:
         ids = store.ids()
     return ids.where(F.col("id").isin(*f.ids)) if f.ids is not None else ids

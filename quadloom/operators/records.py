@@ -92,7 +92,7 @@ def load(store, record: Record, depth: int = 8, ids: Iterable | DataFrame | None
         nodes = nodes.join(wanted, "id", "left_semi")
     out = nodes.select("id")
     for k, p in enumerate(record.props):
-        q = store.quads.where(F.col("p") == T.key(p.predicate))
+        q = store.scan(p=[T.key(p.predicate)])
         at, to = ("o", "s") if p.reverse else ("s", "o")
         values = q.select(F.col(at).alias("id"), F.col(to).alias("to")).distinct()
         if isinstance(p.kind, Record):

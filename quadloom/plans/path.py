@@ -14,15 +14,21 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import filters as FF
 from quadloom.functions import terms as T
+from quadloom.sources import tables
 
 MAX_DEPTH = 50
 #: Recursion up to this depth is one plan; deeper is a loop over levels kept in the shared folder.
 UNROLLED = 6
+#: Column of the numbers of nodes of one class.
+NUMBER = "_n"
 
 
 @dataclass(frozen=True)
 class State:
-    """kind: all (every node), fixed (keys), or rows (df with id and tag columns)."""
+    """kind: all (every node), fixed (keys), or rows (df with id and tag columns).
+
+    family: the class of all nodes of df, if a column NUMBER says which of it each is. Joins then compare numbers instead of keys.
+    """
 
     kind: str
     keys: tuple[str, ...] = ()
@@ -32,6 +38,11 @@ class State:
     label_tags: tuple[str, ...] = ()
     at_tag: dict[str, tuple] = field(default_factory=dict)  # label context where a tag was set
     hidden: tuple[str, ...] = ()
+    family: str | None = None
+
+    @property
+    def numbered(self) -> str | None:
+        return self.family if self.df is not None and NUMBER in self.df.columns else None
 
 
 class Path:
@@ -222,6 +233,11 @@ def _via(via):
     return tuple(map(T.key, via)) or None
 
 
+def _by(a: State, b: State) -> str:
+    """The column that tells the nodes of both apart."""
+    return NUMBER if a.numbered and a.numbered == b.numbered else "id"
+
+
 def _reversed(step):
     name, args = step
     if name in ("out", "in"):
@@ -264,7 +280,7 @@ class Lowering:
             df = self.store.ids()
         else:
             wanted = self.spark.createDataFrame([(k,) for k in state.keys], "id string")
-            df = wanted.join(self.quads.where(F.arrays_overlap(F.array("s", "p", "o", "l"), F.array(*map(F.lit, state.keys)))).select(F.explode(F.array("s", "p", "o", "l")).alias("id")).distinct(), "id", "left_semi") if state.keys else wanted
+            df = wanted.join(self.store.existing(state.keys), "id", "left_semi") if state.keys else wanted
         return replace(state, kind="rows", df=df.select("id", *(F.col("id").alias(c) for c in state.tags.values())), keys=())
 
     def columns(self, state: State) -> list[str]:
@@ -272,38 +288,63 @@ class Lowering:
 
     # Scans
 
-    def edges(self, state: State, via, goal: str | None = None, context: bool = True) -> DataFrame:
-        """Quads that a traversal may use."""
-        q = self.quads
+    def edges(self, state: State, via, wanted: dict, context: bool, at: str | None = None) -> tuple[DataFrame, dict[str, str], bool]:
+        """Quads that a traversal may use, classes of their nodes by direction, and whether rows' numbers can be joined with direction `at`."""
+        wanted, family = dict(wanted), at and state.numbered
+        if via is not None and not isinstance(via, Path):
+            wanted["p"] = via
+        if context and state.labels is not None:
+            wanted["l"] = state.labels
+        q, known, meets = None, {}, False
+        if self.store.cells:
+            parts = tables.restricted(self.store.cells, wanted)
+            near = [p for p in parts if not p.side(at).apart(family)] if family else parts
+            meets = bool(family and near) and tables.classes(near).get(at) == family
+            parts = near if meets else parts
+            if parts:
+                known = tables.classes(parts)
+                q = tables.united(parts, known)
+                for d, keys in wanted.items():
+                    q = q.where(F.col(d).isin(*keys))
+        if q is None:
+            q = self.store.scan(**wanted)
         if isinstance(via, Path):
             allowed = self.rows(self.sub(via)).df.select(F.col("id").alias("p")).distinct()
             q = q.join(allowed, "p", "left_semi")
-        elif via is not None:
-            q = q.where(F.col("p").isin(*via))
-        if context and state.labels is not None:
-            q = q.where(F.col("l").isin(*state.labels))
-        return q
+        return q, known, meets
 
-    def hop(self, state: State, via, reverse: bool, keep: bool, extra: dict[str, str], only: Column | None = None, optional: bool = False, context: bool = True) -> State:
-        """Join with quads. keep: stay at id. extra: column -> quad column to keep under that name. only: a condition on the quad (in s, p, o, l)."""
+    def hop(self, state: State, via, reverse: bool, keep: bool, extra: dict[str, str], only: Column | None = None, optional: bool = False, context: bool = True, among: tuple[str, ...] = ()) -> State:
+        """Join with quads. keep: stay at id. extra: column -> quad column to keep under that name. only: a condition on the quad (in s, p, o, l). among: keys that the other end must be of."""
         start, goal = ("o", "s") if reverse else ("s", "o")
-        q = self.edges(state, via, context=context)
+        end = start if keep else goal
+        alone = state.kind != "rows" and not optional and len(set(state.keys)) == len(state.keys)
+        wanted = ({goal: among} if among else {}) | ({start: state.keys} if alone and state.kind == "fixed" else {})
+        state = state if alone else self.rows(state)
+        q, known, meets = self.edges(state, via, wanted, context, None if alone else start)
         label_tags = {self.name(): t for t in state.label_tags} if context else {}
         extra = extra | dict.fromkeys(label_tags, "l")
         if only is not None:
             q = q.where(only)
         tags = dict(state.tags) | {t: c for c, t in label_tags.items()}
-        if state.kind != "rows" and not optional and len(set(state.keys)) == len(state.keys):
-            if state.kind == "fixed":
-                q = q.where(F.col(start).isin(*state.keys))
+        if alone:
             held = [F.col(start).alias(c) for c in dict.fromkeys(state.tags.values())]
-            df = q.select(F.col(start if keep else goal).alias("id"), *held, *(F.col(x).alias(c) for c, x in extra.items()))
-            return replace(state, kind="rows", df=df, keys=(), tags=tags)
-        state = self.rows(state)
-        side = q.select(F.col(start).alias("_at"), *([] if keep else [F.col(goal).alias("_to")]), *(F.col(x).alias(c) for c, x in extra.items()))
-        df = state.df.join(side, state.df["id"] == side["_at"], "left" if optional else "inner")
-        df = df.select(F.col("id") if keep else F.col("_to").alias("id"), *self.columns(state), *extra)
-        return replace(state, df=df, tags=tags)
+            numbers = [F.col(f"{end}_n").alias(NUMBER)] if end in known else []
+            df = q.select(F.col(end).alias("id"), *numbers, *held, *(F.col(x).alias(c) for c, x in extra.items()))
+            return replace(state, kind="rows", df=df, keys=(), tags=tags, family=known.get(end))
+        goes = not keep and goal in known and not optional  # the key is made of the number after the join
+        side = q.select(
+            (F.col(f"{start}_n") if meets else F.col(start)).alias("_at"), *([] if keep else [F.col(f"{goal}_n" if goes else goal).alias("_to")]),
+            *(F.col(x).alias(c) for c, x in extra.items()),
+        )
+        df = state.df.join(side, state.df[NUMBER if meets else "id"] == side["_at"], "left" if optional else "inner")
+        if goes:
+            ids, family = [tables.node(known[goal], "_to").alias("id"), F.col("_to").alias(NUMBER)], known[goal]
+        elif keep:
+            family = state.numbered
+            ids = [F.col("id"), F.col(NUMBER)] if family else [F.col("id")]
+        else:
+            ids, family = [F.col("_to").alias("id")], None
+        return replace(state, df=df.select(*ids, *self.columns(state), *extra), tags=tags, family=family)
 
     # Steps
 
@@ -344,11 +385,10 @@ class Lowering:
         return self.union(self._traverse(state, via, tags, True), self._traverse(state, via, tags, False))
 
     def do_has(self, state, via, keys, reverse, fs):
-        goal = F.col("s" if reverse else "o")
-        only = goal.isin(*keys) if keys else None
+        goal, only = F.col("s" if reverse else "o"), None
         for f in fs:
             only = f.on(goal) if only is None else only & f.on(goal)
-        return self.hop(state, via, reverse, True, {}, only)
+        return self.hop(state, via, reverse, True, {}, only, among=keys)
 
     def do_save(self, state, via, tag, reverse, optional):
         c = self.name()
@@ -366,7 +406,7 @@ class Lowering:
         if state.kind == "all":
             return State("rows", df=self.quads.select(F.col("p").alias("id")).distinct())
         if state.kind == "fixed":
-            return State("rows", df=self.quads.where(at.isin(*state.keys)).select(F.col("p").alias("id")).distinct())
+            return State("rows", df=self.store.scan(**{"o" if reverse else "s": state.keys}).select(F.col("p").alias("id")).distinct())
         edges = self.quads.select(at.alias("id"), "p").distinct()
         return State("rows", df=edges.join(state.df.select("id").distinct(), "id", "left_semi").select(F.col("p").alias("id")).distinct())
 
@@ -391,7 +431,10 @@ class Lowering:
             return self.do_is(state, other.keys)
         state, other = self.rows(state), self.rows(other)
         mine = {t: c for t, c in state.tags.items() if t not in other.tags}  # a tag set on both sides is the other's
-        df = state.df.join(other.df.withColumnRenamed("id", "_id2"), F.col("id") == F.col("_id2")).select("id", *dict.fromkeys([*mine.values(), *state.hidden, *other.tags.values()]))
+        by = _by(state, other)
+        side = other.df.select(F.col(by).alias("_at"), *dict.fromkeys(other.tags.values()))
+        numbers = [NUMBER] if state.numbered else []
+        df = state.df.join(side, state.df[by] == side["_at"]).select("id", *numbers, *dict.fromkeys([*mine.values(), *state.hidden, *other.tags.values()]))
         return replace(state, df=df, tags=mine | other.tags)
 
     def union(self, a: State, b: State) -> State:
@@ -412,7 +455,8 @@ class Lowering:
             state = self.rows(state)
             return replace(state, df=state.df.where(~F.col("id").isin(*other.keys)) if other.keys else state.df)
         state = self.rows(state)
-        return replace(state, df=state.df.join(other.df.select("id").distinct(), "id", "left_anti").select(state.df.columns))
+        by = _by(state, other)
+        return replace(state, df=state.df.join(other.df.select(by).distinct(), by, "left_anti").select(state.df.columns))
 
     def do_unique(self, state):
         if state.kind == "all":
@@ -420,10 +464,12 @@ class Lowering:
         if state.kind == "fixed":
             return replace(state, keys=tuple(dict.fromkeys(state.keys)))
         cols = self.columns(state)
+        by = _by(state, state)
+        ids = [tables.node(state.family, NUMBER).alias("id"), NUMBER] if by == NUMBER else ["id"]
         if not cols:
-            return replace(state, df=state.df.distinct())
-        first = state.df.groupBy("id").agg(F.min(F.struct(*cols)).alias("_first"))
-        return replace(state, df=first.select("id", *(F.col(f"_first.{c}").alias(c) for c in cols)))
+            return replace(state, df=state.df.select(by).distinct().select(*ids))
+        first = state.df.groupBy(by).agg(F.min(F.struct(*cols)).alias("_first"))
+        return replace(state, df=first.select(*ids, *(F.col(f"_first.{c}").alias(c) for c in cols)))
 
     def _sub_rows(self, state: State, path: Path) -> tuple[State, str]:
         """The sub-path run forward from each row, with the row's node in a hidden column."""
@@ -456,7 +502,7 @@ class Lowering:
             raise ValueError(f"no tag {tag!r} on this path to go back to")
         state = self.rows(state)
         labels, label_tags = state.at_tag.get(tag, (None, ()))
-        return replace(state, df=state.df.withColumn("id", F.col(state.tags[tag])).where("id IS NOT NULL"), labels=labels, label_tags=label_tags)
+        return replace(state, df=state.df.drop(NUMBER).withColumn("id", F.col(state.tags[tag])).where("id IS NOT NULL"), labels=labels, label_tags=label_tags)
 
     def do_order(self, state):
         state = self.rows(state)

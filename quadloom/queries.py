@@ -13,7 +13,7 @@ from quadloom.languages import chains, graphql, sexp, steps, templates
 from quadloom.operators import dedup, graph_stream, inference, records
 from quadloom.plans.path import Path
 from quadloom.sources import formats, nquads
-from quadloom.sources.tables import Mapping, cell_quads, node
+from quadloom.sources.tables import Cell, Mapping, Node, Value, cell_quads, cells, node
 from quadloom.storage import Scratch
 from quadloom.store import GraphStore
 from quadloom.streaming import deltas
@@ -48,27 +48,31 @@ def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(spark, sf_dir, *names) -> list[Cell]:
+    return [c for n in names for c in cells(table(spark, sf_dir, n), MAPPINGS[n])]
+
+
 def graph(spark, sf_dir, *names) -> GraphStore:
-    return GraphStore(reduce(DataFrame.unionByName, (cell_quads(table(spark, sf_dir, n), MAPPINGS[n]) for n in names)))
+    return GraphStore.of_cells(columns(spark, sf_dir, *names))
 
 
-def edges_of_items(spark, sf_dir) -> DataFrame:
+def edges_of_items(spark, sf_dir) -> list[Cell]:
     """order -has_part-> part, part -supplied_by-> supplier: distinct edges of lineitem, which has no key of its own."""
-    items, none = table(spark, sf_dir, "lineitem"), F.lit(None).cast("string").alias("l")
-    a = items.select("l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL").distinct().select(node("order", "l_orderkey").alias("s"), F.lit("<has_part>").alias("p"), node("part", "l_partkey").alias("o"), none)
-    b = items.select("l_partkey", "l_suppkey").where("l_partkey IS NOT NULL AND l_suppkey IS NOT NULL").distinct().select(node("part", "l_partkey").alias("s"), F.lit("<supplied_by>").alias("p"), node("supplier", "l_suppkey").alias("o"), none)
-    return a.unionByName(b)
+    items, part = table(spark, sf_dir, "lineitem"), Node("part", ("l_partkey",))
+    return [
+        Cell(items.select("l_orderkey", "l_partkey").distinct(), "<has_part>", Node("order", ("l_orderkey",)), part),
+        Cell(items.select("l_partkey", "l_suppkey").distinct(), "<supplied_by>", part, Node("supplier", ("l_suppkey",))),
+    ]
 
 
 def items_graph(spark, sf_dir, *names) -> GraphStore:
-    return GraphStore(reduce(DataFrame.unionByName, (edges_of_items(spark, sf_dir), *(graph(spark, sf_dir, n).quads for n in names))))
+    return GraphStore.of_cells([*edges_of_items(spark, sf_dir), *columns(spark, sf_dir, *names)])
 
 
 def turns_graph(spark, sf_dir) -> GraphStore:
-    t, none = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL"), F.lit(None).cast("string").alias("l")
-    s = node("turn", "conv_id", "turn").alias("s")
-    follows = t.where("turn > 0").select(node("turn", "conv_id", F.col("turn") - 1).alias("s"), F.lit("<next>").alias("p"), node("turn", "conv_id", "turn").alias("o"), none)
-    return GraphStore(follows.unionByName(t.where("role IS NOT NULL").select(s, F.lit("<role>").alias("p"), T.string_key(F.col("role")).alias("o"), none)))
+    t = table(spark, sf_dir, "conversations").withColumn("before", F.col("turn") - 1)
+    turn = Node("turn", ("conv_id", "turn"))
+    return GraphStore.of_cells([Cell(t.where("turn > 0"), "<next>", Node("turn", ("conv_id", "before")), turn), Cell(t, "<role>", turn, Value("role"))])
 
 
 def turn_ids(c: str) -> list[Column]:
@@ -179,7 +183,7 @@ def has_value(spark, sf_dir):
 @query("SELECT l_partkey AS p_partkey, count(*)::BIGINT AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1")
 def has_any(spark, sf_dir):
     """A bag: a node stands once per quad that it has."""
-    return GraphStore(edges_of_items(spark, sf_dir)).V().has(iri("supplied_by")).to_df().groupBy(number("id").alias("p_partkey")).agg(F.count("*").alias("n"))
+    return GraphStore.of_cells(edges_of_items(spark, sf_dir)).V().has(iri("supplied_by")).to_df().groupBy(number("id").alias("p_partkey")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey IN (1, 4, 9)")
@@ -269,7 +273,7 @@ def recursive_path(spark, sf_dir):
 
 @query("SELECT a.l_orderkey AS o_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey BETWEEN 1 AND 40) a JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey BETWEEN 41 AND 80) b USING (l_orderkey)")
 def intersect(spark, sf_dir):
-    g = GraphStore(edges_of_items(spark, sf_dir))
+    g = GraphStore.of_cells(edges_of_items(spark, sf_dir))
     some = lambda a, b: g.V(*(iri(f"part/{k}") for k in range(a, b + 1))).in_(iri("has_part")).unique()
     return some(1, 40).and_(some(41, 80)).to_df().select(number("id").alias("o_orderkey"))
 
@@ -296,13 +300,13 @@ def unique(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def label_context(spark, sf_dir):
-    g = GraphStore(cell_quads(table(spark, sf_dir, "orders"), LABELLED_ORDERS))
+    g = GraphStore.of_cells(cells(table(spark, sf_dir, "orders"), LABELLED_ORDERS))
     return g.V().label_context(iri("O")).tag("o").out(iri("o_custkey")).to_df().select(number("o").alias("o_orderkey"), number("id").alias("o_custkey"))
 
 
 @query("SELECT DISTINCT o_orderstatus AS label FROM orders")
 def labels(spark, sf_dir):
-    g = GraphStore(cell_quads(table(spark, sf_dir, "orders"), LABELLED_ORDERS))
+    g = GraphStore.of_cells(cells(table(spark, sf_dir, "orders"), LABELLED_ORDERS))
     return g.V().has(iri("o_custkey")).labels().to_df().select(T.text(F.col("id")).alias("label"))
 
 

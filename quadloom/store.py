@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.functions import terms as T
+from quadloom.sources import tables
 
 SCHEMA = "s string, p string, o string, l string"
 DIRECTIONS = {"subject": "s", "predicate": "p", "object": "o", "label": "l", "s": "s", "p": "p", "o": "o", "l": "l"}
@@ -59,14 +60,20 @@ class GraphStore:
     Stores don't change: a write returns a new one whose plan reads the old.
     """
 
-    def __init__(self, quads: DataFrame, ignore_duplicate: bool = True, ignore_missing: bool = False):
-        self.quads, self.spark = quads.select("s", "p", "o", "l"), quads.sparkSession
+    def __init__(self, quads: DataFrame, ignore_duplicate: bool = True, ignore_missing: bool = False, cells: Sequence[tables.Cell] = ()):
+        """cells: where the quads are those of table columns, how; conditions on terms then reach the columns."""
+        self.quads, self.spark, self.cells = quads.select("s", "p", "o", "l"), quads.sparkSession, list(cells)
         self.ignore_duplicate, self.ignore_missing = ignore_duplicate, ignore_missing
 
     @classmethod
     def of(cls, spark: SparkSession, quads: Iterable[tuple], **options) -> GraphStore:
         return cls(quad_rows(spark, quads).dropDuplicates(), **options)
 
+    @classmethod
+    def of_cells(cls, cells: Sequence[tables.Cell], **options) -> GraphStore:
+        """Columns of tables as a graph, read where they are. Repeated rows repeat their quads: give distinct ones where it matters."""
+        return cls(tables.united(cells), cells=cells, **options)
+
     def _with(self, quads: DataFrame) -> GraphStore:
         return GraphStore(quads, self.ignore_duplicate, self.ignore_missing)
 
@@ -88,16 +95,31 @@ class GraphStore:
             T.int_value(c).alias("i"), T.float_value(c).alias("f"), T.bool_value(c).alias("b"), T.time_value(c).alias("ts"),
         )
 
+    def scan(self, **wanted: Iterable[str]) -> DataFrame:
+        """Quads with one of the keys in each direction named (s, p, o, l)."""
+        wanted = {d: tuple(keys) for d, keys in wanted.items()}
+        parts = tables.restricted(self.cells, wanted)
+        out = tables.united(parts) if parts else self.quads
+        for d, keys in wanted.items():
+            out = out.where(F.col(d).isin(*keys))
+        return out if parts or not self.cells else out.where(F.lit(False))
+
+    def existing(self, keys: Sequence[str]) -> DataFrame:
+        """(id) of the nodes among these keys."""
+        each = lambda df, *cs: df.select(F.explode(F.array(*cs)).alias("id")).where(F.col("id").isin(*keys))
+        if not self.cells:
+            return each(self.quads.where(reduce(Column.__or__, (F.col(c).isin(*keys) for c in "spol"))), *"spol").distinct()
+        found = [each(p.quads(), d) for d in "sol" for p in tables.restricted(self.cells, {d: keys})]
+        found += [p.quads().limit(1).select(F.col("p").alias("id")) for p in self.cells if p.predicate in keys]
+        return reduce(DataFrame.union, found).distinct() if found else self.quads.where(F.lit(False)).select(F.col("s").alias("id"))
+
     def filter_quads(self, subjects=(), predicates=(), objects=(), labels=()) -> DataFrame:
         """Quads restricted per direction; an empty list restricts nothing."""
-        out = self.quads
-        for c, values in zip("spol", (subjects, predicates, objects, labels), strict=True):
-            if values:
-                out = out.where(F.col(c).isin([T.key(v) for v in values]))
-        return out
+        asked = zip("spol", (subjects, predicates, objects, labels), strict=True)
+        return self.scan(**{c: [T.key(v) for v in values] for c, values in asked if values})
 
     def quads_of(self, direction: str, value) -> DataFrame:
-        return self.quads.where(F.col(DIRECTIONS[direction]) == T.key(value))
+        return self.scan(**{DIRECTIONS[direction]: [T.key(value)]})
 
     def stats(self) -> dict[str, int]:
         return {"nodes": self.ids().count(), "quads": self.quads.count()}
