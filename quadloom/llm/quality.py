@@ -1,14 +1,15 @@
 """Quality classification by importance resampling.
 
-Method. Hashed n-gram models (add-one multinomials over `BUCKETS`) are counted for the target, labelled good documents, and for the
-raw corpus, all documents. Features of a text: each word's hash, and bigrams of word shapes (runs of letters by case, digits, and
-other characters as they are) with a mark where a word repeats the one before it. A document's importance is
+Method. Hashed n-gram models (add-one multinomials, one for each kind of n-gram) are counted for the target, labelled good documents,
+and for the raw corpus, all documents. Features of a text: each word's hash, bigrams of words, and bigrams of word shapes (runs of letters
+by case, digits, and other characters as they are) with a mark where a word repeats the one before it. Tables of bigrams grow with the
+cube root of the corpus's bytes (`bits`): 2^17 buckets each at 0.5 GB, 2^19 at 30 GB, 2^23 at 100 TB. A document's importance is
 log p_target - log p_raw, tempered for long texts; Gumbel noise, drawn from the document's id, is added, and the k largest keys are taken, which is a sample of
 k documents without replacement in proportion to importance. k is the number of documents at or above the importance that best
 divides good from bad labelled documents.
 
 What is fitted on labels uses a bounded sample, `LABELLED` rows by hash of id; raw counts, importances, k and the k-th key cover all
-documents. To the driver go BUCKETS counts of each model, the sample's importances and histograms of at most 4096 rows. The k-th key is found
+documents. To the driver go the buckets' counts of each model, the sample's importances and histograms of at most 4096 rows. The k-th key is found
 by narrowing histograms, not by a sort into one task.
 
 Cases: null and empty texts have importance 0; without labelled good documents nothing is known, and all are kept; without bad ones
@@ -26,15 +27,26 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import Scratch, ship, utf8
 
-#: Few buckets for words, so that the ratio tells kinds of words and not single ones; more for bigrams of shapes.
-WORDS, PAIRS, LABELLED, SEED = 1 << 11, 1 << 15, 20_000, 7
+#: Few buckets for single words, so that the ratio tells kinds of words; what tells single ones are the bigrams, whose tables grow.
+WORDS, LABELLED, SEED = 1 << 11, 20_000, 7
+#: Buckets of bigrams: at least this many times the cube root of the bytes of all texts.
+GROWTH = 128
 #: A document counts as at most so many n-grams, at the mean ratio of all it has: else a long text's small leanings outweigh a short one's faults.
 EFFECTIVE = 200
-BUCKETS = WORDS + PAIRS
+
+
+def bits(n_bytes: int) -> int:
+    """log2 of the buckets of each table of bigrams."""
+    return max(10, math.ceil(math.log2(GROWTH * max(1, n_bytes) ** (1 / 3))))
+
+
+def parts(b: int) -> list[slice]:
+    """Where the tables of words, bigrams of shapes and bigrams of words lie."""
+    return [slice(0, WORDS), slice(WORDS, WORDS + (1 << b)), slice(WORDS + (1 << b), WORDS + (2 << b))]
 
 
 class _Words(dict):
-    """word -> its bucket and its shape's hash; bounded."""
+    """word -> its hash and its shape's; bounded."""
 
     def __missing__(self, word):
         from xxhash import xxh32_intdigest
@@ -47,7 +59,7 @@ class _Words(dict):
             if c != last or c not in b"Aa0":
                 out.append(c)
             last = c
-        self[word] = value = (xxh32_intdigest(word.lower()) % WORDS) | (xxh32_intdigest(bytes(out[:8])) << 16)
+        self[word] = value = xxh32_intdigest(word.lower()) | (xxh32_intdigest(bytes(out)) << 32)
         return value
 
 
@@ -59,19 +71,23 @@ def _words() -> _Words:
     return _Words()
 
 
-def features(raw: bytes):
-    """Buckets of a text's n-grams: words in [0, WORDS), shapes' bigrams in [WORDS, BUCKETS)."""
+def features(raw: bytes, b: int):
+    """Buckets of a text's n-grams, in the tables of `parts(b)`."""
     import numpy as np
 
     split = raw.split()
-    both = np.fromiter(map(_words().__getitem__, split), np.int64, len(split))
-    word, shape = both & 0xFFFF, (both >> 16).astype(np.uint64)
+    both = np.fromiter(map(_words().__getitem__, split), np.uint64, len(split))
+    word, shape = both & np.uint64(0xFFFFFFFF), both >> np.uint64(32)
+    single = (word % np.uint64(WORDS)).astype(np.int64)
     if len(split) < 2:
-        return word
+        return single
+
+    def pairs(x, mark):
+        mixed = (x[:-1] * np.uint64(0x9E3779B1) + x[1:] * np.uint64(0x85EBCA77) + mark * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)
+        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - b)).astype(np.int64)
+
     same = (word[1:] == word[:-1]).astype(np.uint64)
-    pair = (shape[:-1] * np.uint64(0x9E3779B1) + shape[1:] * np.uint64(0x85EBCA77) + same * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)
-    pair = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
-    return np.concatenate((word, pair.astype(np.int64) + WORDS))
+    return np.concatenate((single, pairs(shape, same) + WORDS, pairs(word, np.uint64(0)) + (WORDS + (1 << b))))
 
 
 def gumbel(doc_id, seed: int = SEED) -> float:
@@ -84,17 +100,17 @@ def gumbel(doc_id, seed: int = SEED) -> float:
 class Model:
     """Log ratio of the two models, by bucket."""
 
-    def __init__(self, target, raw):
+    def __init__(self, target, raw, b: int):
         import numpy as np
 
         ratio = []
-        for part in (slice(0, WORDS), slice(WORDS, BUCKETS)):
+        for part in parts(b):
             t, r = target[part] + 1.0, raw[part] + 1.0
             ratio.append(np.log(t / t.sum()) - np.log(r / r.sum()))
-        self.ratio = np.concatenate(ratio)
+        self.ratio, self.bits = np.concatenate(ratio), b
 
     def importance(self, raw: bytes) -> float:
-        return tempered(self.ratio[features(raw)])
+        return tempered(self.ratio[features(raw, self.bits)])
 
 
 def tempered(ratios) -> float:
@@ -109,20 +125,21 @@ def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
 
 
 def fitted(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The models of target and of all docs, in one pass; None without good labelled documents."""
-    spark = docs.sparkSession
-    ship(spark)
+    """The models of target and of all docs, in one pass after one that adds up lengths; None without good labelled documents."""
+    ship(docs.sparkSession)
+    b = bits(docs.agg(F.sum(F.octet_length(docs[text_col].cast("string")))).first()[0] or 0)
+    size = parts(b)[-1].stop
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for good, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                found = features(text)
-                if len(found) > BUCKETS:
-                    n = np.bincount(found, minlength=BUCKETS)
+        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            for good, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                found = features(text, b)
+                if len(found) > size:
+                    n = np.bincount(found, minlength=size)
                     raw += n
                     target += n * bool(good)
                 else:
@@ -133,18 +150,18 @@ def fitted(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], names=["bucket", "raw", "target"])
 
     told = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), F.col("id") == F.col("l_id"), "left").select("good", "text")
-    counts = told.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most BUCKETS rows
+    counts = told.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most `size` rows
     import numpy as np
 
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    raw, target = np.zeros(size), np.zeros(size)
     raw[counts.bucket], target[counts.bucket] = counts.raw, counts.target
-    return Model(target, raw) if target.any() else None
+    return Model(target, raw, b) if target.any() else None
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, log_weight, key."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a number for each bucket
 
     def run(batches):
         import pyarrow as pa
@@ -155,8 +172,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 part = b.slice(i, 1024)
                 ids, n, weight = part.column(0).to_pylist(), [], []
                 for raw in utf8(part.column(1)):
-                    found = features(raw)
-                    n.append((len(found) + 1) // 2)
+                    found = features(raw, held.value.bits)
+                    n.append((len(found) + 2) // 3)
                     weight.append(tempered(ratio[found]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.float64()), pa.array([w + gumbel(d) for w, d in zip(weight, ids, strict=True)], pa.float64())], names=["id", "n_tokens", "log_weight", "key"])
 

@@ -32,15 +32,18 @@ def test_against_brute_force(spark):
     docs, labels = corpus(spark)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     good = {r["doc_id"]: r["quality"] > 0 for r in labels.collect()}
-    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    b = quality.bits(sum(len((t or "").encode()) for t in texts.values()))
+    parts = quality.parts(b)
+    size = parts[-1].stop
+    raw, target = np.zeros(size), np.zeros(size)
     for k, t in texts.items():
-        n = np.bincount(quality.features(t.encode()), minlength=quality.BUCKETS)
+        n = np.bincount(quality.features(t.encode(), b), minlength=size)
         raw += n
         target += n * good.get(k, False)
     weight = {}
     for k, t in texts.items():
-        f = quality.features(t.encode())
-        ratio = sum(math.log((target[b] + 1) / (target[part].sum() + part.stop - part.start)) - math.log((raw[b] + 1) / (raw[part].sum() + part.stop - part.start)) for b in f for part in [slice(0, quality.WORDS) if b < quality.WORDS else slice(quality.WORDS, quality.BUCKETS)])
+        f = quality.features(t.encode(), b)
+        ratio = sum(math.log((target[x] + 1) / (target[part].sum() + part.stop - part.start)) - math.log((raw[x] + 1) / (raw[part].sum() + part.stop - part.start)) for x in f for part in parts if part.start <= x < part.stop)
         weight[k] = ratio * min(1, quality.EFFECTIVE / max(1, len(f)))
     rows = quality.classified(docs, labels).collect()
     for r in rows:
@@ -50,6 +53,16 @@ def test_against_brute_force(spark):
     assert sorted((r["key"] for r in rows if r["kept"])) == sorted(r["key"] for r in rows)[-k:]
 
 
+def test_features():
+    """Three n-grams a word but for the first; whole words and whole shapes count; tables grow with the corpus."""
+    f = lambda t: quality.features(t.encode(), 15)
+    assert [len(f(t)) for t in ("", " ", "a", "a b", "a b c")] == [0, 0, 1, 4, 7]
+    one, two = f("x a-b-c-d-e-f-g-1"), f("x a-b-c-d-e-f-g-,")  # shapes that differ after their first characters
+    assert one[2] != two[2] and f("the Cat")[3] == f("The cat")[3] and f("the cat")[3] != f("cat the")[3]
+    assert all(part.start <= x < part.stop for part, k in zip(quality.parts(15), ([0, 1, 2], [3, 4], [5, 6]), strict=True) for x in f("one two three")[k])
+    assert [quality.bits(n) for n in (0, 500_000_000, 30_000_000_000, 10**14)] == [10, 17, 19, 23]
+
+
 def test_kth_largest(spark):
     import random
 
