@@ -8,7 +8,8 @@ log p_target - log p_raw, tempered for long texts; Gumbel noise, drawn from the
 k documents without replacement in proportion to importance. k is the number of documents at or above the importance that best
 divides good from bad labelled documents.
 
-What is fitted on labels uses a bounded sample, `LABELLED` rows by hash of id; raw counts, importances, k and the k-th key cover all
+What is fitted on labels uses a bounded sample, `LABELLED` rows by hash of id, one half for the
+target model and the other for the division (`halves`); raw counts, importances, k and the k-th key cover all
 documents. To the driver go the buckets' counts of each model, the sample's importances and histograms of at most 4096 rows. The k-th key is found
 by narrowing histograms, not by a sort into one task.
 
@@ -119,9 +120,20 @@ def tempered(ratios) -> float:
 
 
 def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """(l_id, good) of at most `bound` labelled documents, the first by hash of their id."""
+    """(l_id, good, half) of at most `bound` labelled documents, the first by hash of their id."""
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    return one.select(F.col("doc_id").alias("l_id"), (F.col("q") > 0).alias("good")).orderBy(F.xxhash64("l_id"), "l_id").limit(bound)
+    first = one.select(F.col("doc_id").alias("l_id"), (F.col("q") > 0).alias("good")).orderBy(F.xxhash64("l_id"), "l_id").limit(bound)
+    return first.withColumn("half", F.pmod(F.xxhash64(F.lit(SEED), "l_id"), F.lit(2)))
+
+
+def halves(sample: DataFrame) -> DataFrame:
+    """(l_id, good, counts, divides): one half is counted in the target model, the other, which that hasn't seen, finds the division.
+
+    A model knows the texts it counted better than others like them. Where a half lacks good ones, or the other bad ones, all serve for both.
+    """
+    n = {(r["half"], r["good"]): r["count"] for r in sample.groupBy("half", "good").count().collect()}  # at most four rows
+    both = not (n.get((0, True)) and n.get((1, True)) and (n.get((1, False)) or not n.get((0, False))))
+    return sample.select("l_id", "good", (F.lit(both) | (F.col("half") == 0)).alias("counts"), (F.lit(both) | (F.col("half") == 1)).alias("divides"))
 
 
 def fitted(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
@@ -149,7 +161,7 @@ def fitted(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], names=["bucket", "raw", "target"])
 
-    told = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), F.col("id") == F.col("l_id"), "left").select("good", "text")
+    told = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(sample), F.col("id") == F.col("l_id"), "left").select((F.col("good") & F.col("counts")).alias("good"), "text")
     counts = told.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most `size` rows
     import numpy as np
 
@@ -181,8 +193,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def division(scored: DataFrame, sample: DataFrame) -> float:
-    """The importance that best divides good from bad in the bounded sample; in the middle of its gap."""
-    got = scored.join(F.broadcast(sample), F.col("id") == F.col("l_id")).select("log_weight", "good").toPandas().sort_values("log_weight")
+    """The importance that best divides good from bad among the sample's documents that divide; in the middle of its gap."""
+    got = scored.join(F.broadcast(sample.where("divides")), F.col("id") == F.col("l_id")).select("log_weight", "good").toPandas().sort_values("log_weight")
     if got.good.all():
         return float(got.log_weight.min())
     wrong = got.good.cumsum().shift(fill_value=0) + (~got.good)[::-1].cumsum()[::-1]  # cutting before each row
@@ -221,7 +233,9 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def _scored(docs, labels, scratch, id_col, text_col, bound):
-    sample = scratch.table(labelled(labels, bound), "labelled")
+    first = scratch.table(labelled(labels, bound), "labelled")
+    met = docs.select(docs[id_col].alias("id")).join(F.broadcast(first), F.col("id") == F.col("l_id")).select(first.columns).distinct()
+    sample = halves(scratch.table(met, "met"))
     model = fitted(docs, sample, id_col, text_col)
     if model is None:
         ids = docs.select(docs[id_col].alias("id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("key"))

@@ -31,7 +31,7 @@ def test_same_rows_as_kept(spark):
 def test_against_brute_force(spark):
     docs, labels = corpus(spark)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    good = {r["doc_id"]: r["quality"] > 0 for r in labels.collect()}
+    good = {r["l_id"]: r["good"] and r["counts"] for r in quality.halves(quality.labelled(labels)).collect()}
     b = quality.bits(sum(len((t or "").encode()) for t in texts.values()))
     parts = quality.parts(b)
     size = parts[-1].stop
@@ -53,6 +53,14 @@ def test_against_brute_force(spark):
     assert sorted((r["key"] for r in rows if r["kept"])) == sorted(r["key"] for r in rows)[-k:]
 
 
+def test_halves(spark):
+    _, labels = corpus(spark)
+    rows = quality.halves(quality.labelled(labels)).collect()
+    assert len(rows) == 150 and all(r["counts"] != r["divides"] for r in rows) and 40 < sum(r["counts"] for r in rows) < 110
+    few = quality.halves(quality.labelled(labels.where("doc_id IN (0, 1000)"))).collect()
+    assert len(few) == 2 and all(r["counts"] and r["divides"] for r in few)
+
+
 def test_features():
     """Three n-grams a word but for the first; whole words and whole shapes count; tables grow with the corpus."""
     f = lambda t: quality.features(t.encode(), 15)
@@ -81,5 +89,7 @@ def test_odd_rows(spark):
     assert quality.classified(docs, labels.limit(0)).where("kept").count() == len(ODD)
     assert quality.kept(docs, labels.where("quality = 0")).count() == len(ODD)
     assert quality.classified(docs.limit(0), labels).count() == 0 and quality.kept(docs.limit(0), labels).count() == 0
+    strangers = labels.union(spark.createDataFrame([(k, k % 2) for k in range(5000, 5100)], "doc_id long, quality int"))
+    assert sorted(map(str, quality.classified(docs, strangers).collect())) == sorted(map(str, quality.classified(docs, labels).collect()))
     rows = quality.classified(docs, labels).where("doc_id = 4").collect()
     assert len({(r["key"], r["kept"]) for r in rows}) == 1
