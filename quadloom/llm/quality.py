@@ -52,7 +52,7 @@ class _Words(dict):
     def __missing__(self, word):
         from xxhash import xxh32_intdigest
 
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         shape = word.translate(_SHAPE)
         out, last = bytearray(), -1
