@@ -11,14 +11,14 @@ Method.
    thus differ from a linked one in a bounded number d of its own coordinates, and the pair meets in one of its d + 1 rarest (prefix, by
    counts over all classes; a value that one class alone holds takes a place and is posted nowhere). Those are posted under their
    coordinate-value pairs.
-3. Of the posted classes' shingles those that no other posted class has are counted: a class can share only its others, so a pair
-   whose others are too few for a link never meets (the same prefix filter on whole sets).
-4. Lists are not expanded into pairs. First each class is compared only with its best pivot: of the members of its lists with the fewest
-   shingles of their own (copies have most in common with what they were made from) the one with which most marks, finer coordinates of one
-   bit each, collide. A pair goes on if no fewer collide than in a linked one, by the same law (skip: coordinates outside the prefix are
+3. Lists are not expanded into pairs. First each class is compared only with its best pivot: of the members of its lists with the fewest
+   coordinates of their own (copies have most in common with what they were made from) the one with which most marks, finer coordinates of
+   one bit each, collide. A pair goes on if no fewer collide than in a linked one, by the same law (skip: coordinates outside the prefix are
    never merged); then its sets are compared in full. That collapses groups of copies.
-5. The lists whose members are not yet one component are dealt by size bands, and members that by their sizes and own shingles fit no
-   other are dropped. In lists with few members left (`FEW`) these meet each other.
+4. Lists whose members are one component by now are done. Of the other lists' classes the shingles that no other such class has are
+   counted: a class can share only its others, so a pair whose others are too few for a link never meets (the same prefix filter on whole
+   sets).
+5. These lists are dealt by size bands, and members that by their sizes and own shingles fit no other are dropped. In lists with few members left (`FEW`) these meet each other.
 6. From a longer list one pivot p is taken and all members are compared with it in full, which gives each one's difference to p as a set.
    Two members of which one is not linked with p can be linked only if their differences overlap by a known number, so they
    are posted again under the rarest elements of their differences to p (prefix and positional filter, exact), and those lists
@@ -343,17 +343,13 @@ def _judged(docs, file, at, scratch, width, percent, bits, id_col, text_col) ->
     posted = rows.select(F.col("row").alias("node"), "posts").join(one.select("node"), "node").select("node", F.explode("posts").alias("key"))
     often = posted.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = posted.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
-    shared = shared.join(rows.select(F.col("row").alias("node"), "n", "spare"), "node").withColumn("left", (F.col("spare") + F.size("keys")).cast("int"))  # values of this class alone have taken the other places
-    lists = scratch.table(shared.where("left > 0").select("node", "n", F.explode(F.slice("keys", F.lit(1), F.col("left"))).alias("k")).select("node", "n", F.col("k.key").alias("key")), "lists")
+    shared = shared.join(rows.select(F.col("row").alias("node"), "n", "spare", F.size("posts").alias("places")), "node").withColumn("left", (F.col("spare") + F.size("keys")).cast("int"))  # values of this class alone have taken the other places
+    lists = scratch.table(shared.where("left > 0").select("node", "n", (F.col("places") - F.size("keys")).alias("private"), F.explode(F.slice("keys", F.lit(1), F.col("left"))).alias("k")).select("node", "n", "private", F.col("k.key").alias("key")), "lists")
 
     asked = rows.select(F.col("row").alias("node"), "marks", "most", "file", "at").join(lists.select("node").distinct(), "node", "left_semi")
     asked = scratch.table(asked, "asked")
     texts = docs.select(F.col(file).alias("file"), F.col(at).alias("at"), docs[text_col].alias("text")).join(asked.select("node", "file", "at"), ["file", "at"]).select("node", "text")
     texts = scratch.table(texts, "texts")
-    alone = _shingled(texts, width).groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    lists = lists.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"), "key")
-    lists = scratch.table(lists.where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n")), "lists_0")
-    scratch.drop("lists")
     sigs = asked.select("node", "marks", "most")
     comps = None  # (node, root) where a class has been linked
 
@@ -380,15 +376,23 @@ def _judged(docs, file, at, scratch, width, percent, bits, id_col, text_col) ->
             comps = scratch.table(merged, f"comps_{step}")
 
     # Each class with its best pivot
-    lists = lists.withColumn("own", F.col("n") - F.col("c"))
-    first = lists.groupBy("key").agg(F.min(F.struct("own", "node", "n", "c")).alias("f")).select("key", F.col("f.node").alias("p"), F.col("f.n").alias("p_n"), F.col("f.c").alias("p_c"))
-    fits = F.lit(100 + percent) * F.least("c", "p_c") >= F.lit(percent) * (F.col("n") + F.col("p_n"))
+    first = lists.groupBy("key").agg(F.min(F.struct("private", "node", "n")).alias("f")).select("key", F.col("f.node").alias("p"), F.col("f.n").alias("p_n"))
+    fits = F.lit(100) * F.least("n", "p_n") >= F.lit(percent) * F.greatest("n", "p_n")
     pairs = like(lists.join(first, "key").where((F.col("node") != F.col("p")) & fits).select(F.col("node").alias("u"), "p").distinct())
     pairs = pairs.groupBy("u").agg(F.min(F.struct("apart", "p")).alias("best")).select("u", F.col("best.p").alias("p"))
     pairs, n = _stored(scratch, pairs, "pairs_0")
     edges, n = _stored(scratch, _confirmed(pairs, texts, width, percent), "edges_0") if n else (None, 0)
     if n:
         merge(edges, 0)
+
+    # Own shingles, of the classes in lists that are not one component
+    mixed = rooted(lists, "node", "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    lists = scratch.table(lists.join(mixed, "key").select("node", "n", "key"), "lists_open")
+    met = texts.join(lists.select("node").distinct(), "node", "left_semi")
+    alone = _shingled(met, width).groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    lists = lists.join(alone, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), "key").withColumn("c", F.col("n") - F.col("own"))
+    lists = scratch.table(lists.where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n")), "lists_0")
+    scratch.drop("lists", "lists_open")
     s, r = F.lit(percent) * F.col("n"), F.lit(100 + percent) * F.col("c") - F.lit(percent) * F.col("n")
     lists = _banded(lists.select("key", "node", "n", "own", s.alias("s"), r.alias("r"), F.lit(True).alias("astray")), percent)
 

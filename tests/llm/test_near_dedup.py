@@ -75,6 +75,17 @@ def test_hot_group(spark):
     check(spark, rows)
 
 
+def test_collapsed_copies_are_not_counted(spark, monkeypatch):
+    """Only classes of lists that the pivots left open have all their shingles dealt out."""
+    rows, counted, count = [], [], N._shingled
+    for g in range(20):
+        base = words(700 + g, 100)
+        rows += [(10 * g + k, changed(base, min(k, 1), 10 * g + k)) for k in range(6)]
+    monkeypatch.setattr(N, "_shingled", lambda texts, width: counted.append(texts.count()) or count(texts, width))
+    check(spark, rows)
+    assert sum(counted) < len(rows) // 4
+
+
 def test_around_the_threshold(spark):
     """Sets of similarity just at and just below 0.8."""
     rows = []
