@@ -58,7 +58,7 @@ def _plain(docs: DataFrame) -> bool:
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().apply(0)
     try:
-        return plan.nodeName().startswith("Relation") and plan.relation().location().rootPaths().size() == 1
+        return plan.nodeName() == "LogicalRelation" and plan.relation().location().rootPaths().size() == 1
     except Exception:  # noqa: BLE001  whatever else is no plain scan
         return False
 

@@ -69,11 +69,15 @@ def shingles(raw: bytes, width: int):
     with np.errstate(over="ignore"):
         h = np.full(n - k + 1, np.uint64(k), np.uint64)
         for i in range(k):
-            h = (h ^ w[i : n - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= w[i : n - k + 1 + i]
+            h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return np.unique(h)
+    h.sort()  # in place, and not np.unique, which fills a hash table first
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]
 
 
 def set_key(found) -> tuple[int, int]:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadloom.llm import exact_dedup, near_dedup
+from quadloom.llm.common import Scratch
 from tests.llm.fixtures import words
 
 CLASH = ["_file", "_at", "_ql_file", "_ql_at", "file", "at", "id", "norm", "digest", "node", "key", "row", "n", "salt", "best"]
@@ -95,3 +96,14 @@ def test_stages_on_odd_rows(spark, data, tmp_path, k, rows):
     assert got.count() <= max(len(rows) * 50, 0)
     if k < len(corpus_pipeline.STAGES) - 1:
         assert got.columns == docs.columns
+
+
+def test_plain_scans_are_read_where_they_are(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    table(spark, ROWS).write.parquet(path)
+    df = spark.read.parquet(path)
+    scratch = Scratch(spark, "plain")
+    for docs in (df, df.where("doc_id > 0").select("doc_id", "text")):
+        assert {f.rsplit("/", 2)[-2] for f in exact_dedup.located(docs, scratch)[0].inputFiles()} == {"plain"}
+    for docs in (df.union(df), spark.read.parquet(path, path), df.select(F.explode(F.array("text", "text")).alias("text"))):
+        assert {f.rsplit("/", 2)[-2] for f in exact_dedup.located(docs, scratch)[0].inputFiles()} == {"stored"}
