@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadloom.functions import terms as T
 
 _TERM = r'<[^>\s]*>|_:\S*[^\s.]|"(?:[^"\\]|\\.)*+"(?:@[A-Za-z0-9-]+|\^\^<[^>\s]*>)?'
+_MARK = "\u0001"  # stands between terms once a line is split
 _LINE = rf"^\s*({_TERM})\s+({_TERM})\s+({_TERM})\s*({_TERM})?\s*\.?\s*(?:#.*)?$"
 
 
@@ -21,9 +22,12 @@ def unescaped(c: Column) -> Column:
     return F.replace(c, F.lit("\u0000"), F.lit("\\\\"))
 
 
-def canonical(c: Column) -> Column:
-    """The key of a term written in N-Quads: numbers, booleans and times in one form, escapes too."""
-    plain = F.when(c.contains("\\"), unescaped(c)).otherwise(c)
+def _bound(c: Column, f) -> Column:
+    """f(c) with c computed once. Spark calls lambdas instead of writing them out: long expressions would become methods that the JVM never compiles."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _typed(plain: Column) -> Column:
     lexical = T.text(plain)
     out = F.when(plain.startswith('"') & plain.contains("\\") & plain.endswith('"'), T.string_key(lexical))
     for datatype, to, key in ((T.INT, "bigint", T.int_key), (T.FLOAT, "double", T.float_key), (T.BOOL, "boolean", T.bool_key), (T.TIME, "timestamp", T.time_key)):
@@ -31,18 +35,28 @@ def canonical(c: Column) -> Column:
     return out.otherwise(plain)
 
 
+def canonical(c: Column) -> Column:
+    """The key of a term written in N-Quads: numbers, booleans and times in one form, escapes too."""
+    escaped = c.contains("\\")
+    return F.when(~escaped & ~c.endswith(">"), c).when(~escaped & c.startswith("<"), c).otherwise(_bound(F.when(escaped, _bound(c, unescaped)).otherwise(c), _typed))
+
+
 def parsed(lines: DataFrame, column: str = "value", on_error: str = "fail") -> DataFrame:
     """(s, p, o, l) of lines; blank lines and comments are skipped, others that aren't quads fail or are skipped."""
     lines = lines.select(F.col(column).alias("line")).where(~F.col("line").rlike(r"^\s*(?:#.*)?$"))
-    good = F.col("line").rlike(_LINE)
+    # One match a line, whatever is asked of its terms: conditions do not go below a generator, so they meet ready terms
+    split = F.when(F.col("line").contains(_MARK), F.when(F.col("line").rlike(_LINE), F.array(*(F.regexp_extract("line", _LINE, i) for i in (1, 2, 3, 4)))).otherwise(F.array("line")))
+    split = split.otherwise(F.split(F.regexp_replace("line", _LINE + "(?s:.*)", _MARK.join(("$1", "$2", "$3", "$4"))), _MARK))
+    lines = lines.select("line", F.posexplode(F.array(split)).alias("_", "t"))
+    good = F.size("t") == 4
     if on_error == "skip":
         lines = lines.where(good)
     elif on_error == "fail":
-        lines = lines.select(F.when(good, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not a quad: "), F.col("line"))).cast("string")).alias("line"))
+        lines = lines.select(F.when(good, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("not a quad: "), F.col("line"))).cast("array<string>")).alias("t"))
     else:
         raise ValueError(f"on_error is fail or skip, not {on_error}")
-    part = lambda i: F.regexp_extract("line", _LINE, i)
-    return lines.select(canonical(part(1)).alias("s"), canonical(part(2)).alias("p"), canonical(part(3)).alias("o"), F.when(part(4) != "", canonical(part(4))).alias("l"))
+    part = lambda i: F.col("t")[i]
+    return lines.select(canonical(part(0)).alias("s"), canonical(part(1)).alias("p"), canonical(part(2)).alias("o"), F.when(part(3) != "", canonical(part(3))).alias("l"))
 
 
 def read(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadloom.functions import filters as FF
 from quadloom.functions import terms as T
@@ -164,3 +165,36 @@ def test_empty_graph(spark):
     g = GraphStore.of(spark, [])
     assert g.stats() == {"nodes": 0, "quads": 0}
     assert g.V().out().to_list() == [] and names(g.V().labels().to_list()) == []
+
+
+ODD_LINES = {
+    '<a> <b> <c> .': ("<a>", "<b>", "<c>", None),
+    '  <a>\t<b>  _:c  <l>.# <d> .': ("<a>", "<b>", "_:c", "<l>"),
+    '<a> <b> "x\u0001 y" <l> .': ("<a>", "<b>", '"x\u0001 y"', "<l>"),
+    '<a> <b> "x y"@en-GB _:l .': ("<a>", "<b>", '"x y"@en-GB', "_:l"),
+    '<a> <b> "<c> <d>"<l>': ("<a>", "<b>", '"<c> <d>"', "<l>"),
+    f'<a> <b> "007"^^<{T.INT}> .': ("<a>", "<b>", f'"7"^^<{T.INT}>', None),
+    f'<a> <b> "x"^^<{T.INT}> .': ("<a>", "<b>", f'"x"^^<{T.INT}>', None),
+    f'<a> <b> "1e0"^^<{T.FLOAT}> <l> .': ("<a>", "<b>", f'"1.0"^^<{T.FLOAT}>', "<l>"),
+    '<a\\u0062> <b> "t\\u0041\\"\\\\u0041" .': ("<ab>", "<b>", '"tA\\"\\\\u0041"', None),
+    '<a> <b> "\\U0001F600"^^<c> .': ("<a>", "<b>", '"\U0001f600"^^<c>', None),
+    '<a> <b> "c" . # $1 \\ d\n': ("<a>", "<b>", '"c"', None),
+    '# <a> <b> <c> .': None, ' ': None, '<a> <b> .': 0, '<a> <b> <c> <d> <e> .': 0, '<a> <b> "c\u0001 .': 0, '<a> <b> "c" x': 0,
+}
+
+
+def test_odd_lines(spark):
+    lines = spark.createDataFrame([(line,) for line in ODD_LINES], "value string")
+    assert sorted(map(repr, map(tuple, nquads.parsed(lines, on_error="skip").collect()))) == sorted(repr(v) for v in ODD_LINES.values() if v)
+    for line, v in ODD_LINES.items():
+        if v == 0:
+            with pytest.raises(Exception, match="not a quad"):
+                nquads.parsed(lines.where(F.col("value") == line)).where("p = '<b>'").collect()
+
+
+def test_lines_are_matched_once(spark, tmp_path):
+    """However often a plan asks for terms, a line is split once, and no expression is too long to be compiled."""
+    (tmp_path / "q.nq").write_text("<a> <p> <b> .\n")
+    df = nquads.read(spark, str(tmp_path / "q.nq"))
+    plan = df.where("p = '<p>' AND s > '<A>' AND o != s")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and len(plan) < 100_000
