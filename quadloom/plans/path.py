@@ -21,6 +21,9 @@ MAX_DEPTH = 50
 UNROLLED = 6
 #: Column of the numbers of nodes of one class.
 NUMBER = "_n"
+#: Column of the number of paths that a row stands for, and the steps that leave it right.
+PATHS = "_paths"
+_COUNTABLE = {"is", "filter", "out", "in", "has"}
 
 
 @dataclass(frozen=True)
@@ -203,6 +206,20 @@ class Path:
     def ids(self) -> DataFrame:
         return self.to_df(False)
 
+    def counted(self) -> DataFrame:
+        """id and n: each end node once, with the number of paths that end there. Paths are added up node by node after every step, not
+        listed, where the steps allow it."""
+        if self.store is None:
+            raise ValueError("a morphism has no store; use on(store)")
+        if not self.steps or any(name not in _COUNTABLE or name in ("out", "in") and args[1] for name, args in self.steps):
+            return self.ids().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        low, state = Lowering(self.store), State("all")
+        for step in self.steps:
+            state = low.run((step,), state)
+            if step[0] in ("out", "in", "has"):
+                state = low.added_up(state)
+        return low.added_up(low.rows(state)).df.select("id", F.col(PATHS).alias("n"))
+
     def to_list(self, limit: int = -1) -> list:
         """Terms of the end nodes, on the driver."""
         df = self.ids() if limit < 0 else self.ids().limit(limit)
@@ -286,6 +303,12 @@ class Lowering:
     def columns(self, state: State) -> list[str]:
         return [*dict.fromkeys(state.tags.values()), *state.hidden]
 
+    def added_up(self, state: State) -> State:
+        """One row a node, with the number of its rows so far in a hidden column; for states without tags."""
+        by, n = _by(state, state), F.sum(PATHS) if PATHS in state.hidden else F.count(F.lit(1))
+        ids = [tables.node(state.family, NUMBER).alias("id"), NUMBER] if by == NUMBER else ["id"]
+        return replace(state, df=state.df.groupBy(by).agg(n.alias(PATHS)).select(*ids, PATHS), hidden=(PATHS,))
+
     # Scans
 
     def edges(self, state: State, via, wanted: dict, context: bool, at: str | None = None) -> tuple[DataFrame, dict[str, str], bool]:

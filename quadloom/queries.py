@@ -413,7 +413,7 @@ def three_branches(spark, sf_dir):
 def four_hops(spark, sf_dir):
     """An unanchored walk."""
     p = items_graph(spark, sf_dir, "supplier", "nation").V().out(iri("has_part")).out(iri("supplied_by")).out(iri("s_nationkey")).out(iri("n_regionkey"))
-    return p.to_df().groupBy(number("id").alias("r_regionkey")).agg(F.count("*").alias("n"))
+    return p.counted().groupBy(number("id").alias("r_regionkey")).agg(F.sum("n").alias("n"))
 
 
 # Languages

@@ -1,7 +1,10 @@
 """Tables as graphs: conditions on terms reach the columns, and paths over columns give what paths over plain quads give."""
 
+from collections import Counter
+
 import pytest
 
+from quadloom import queries
 from quadloom.functions.terms import IRI, BNode, Lang, key
 from quadloom.plans.path import Path
 from quadloom.sources import tables
@@ -89,3 +92,25 @@ def test_conditions_reach_the_files(spark, data):
     walk = plan(g.V().out(i("has_part")).out(i("flag")).to_df())
     join = next(line for line in walk.splitlines() if "Join" in line)
     assert "_n#" in join and "id#" not in join  # numbers meet, not keys
+
+
+@pytest.mark.parametrize("name", PATHS)
+def test_counted_is_the_bag(stores, name):
+    for g in stores:
+        p = PATHS[name](g)
+        got = p.counted().collect()
+        assert len(got) == len({r["id"] for r in got})
+        assert {r["id"]: r["n"] for r in got} == Counter(r["id"] for r in p.ids().collect())
+
+
+def test_paths_through_a_hub_are_not_listed(spark):
+    """1.6e9 paths, which would be as many rows."""
+    df, n = spark.range(40_000).selectExpr("id AS k", "0L AS hub"), 40_000
+    g = GraphStore.of_cells([Cell(df, "<to>", Node("a", ("k",)), Node("hub", ("hub",))), Cell(df, "<from>", Node("hub", ("hub",)), Node("b", ("k",)))])
+    counted = g.V().out(i("to")).out(i("from")).counted()
+    assert "sum(_paths" in plan(counted)
+    assert {tuple(r) for r in counted.groupBy("n").count().collect()} == {(n, n)}
+
+
+def test_four_hops_adds_up(spark, data):
+    assert "sum(_paths" in plan(queries.four_hops(spark, data))
